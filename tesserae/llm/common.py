@@ -11,15 +11,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Arrow batches carry at most this many documents to Python, whatever their length.
-BATCH_ROWS = "2000"
+#: Bytes of an Arrow batch of documents that goes to Python; a single longer text is a batch of its own.
+BATCH_BYTES = 24 << 20
 
 
 def session(spark: SparkSession) -> SparkSession:
-    """Bound the Arrow batches (documents may be long); a smaller bound that is already set stays."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > int(BATCH_ROWS):
-        spark.conf.set(key, BATCH_ROWS)
+    """Bound the Arrow batches by size, as documents may be long; a smaller bound that is already set stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(key, str(2**31 - 1))) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
     return spark
 
 

@@ -11,6 +11,8 @@ empty table gives no pieces. The order is that of the written table: partitions,
 
 from __future__ import annotations
 
+import os
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,9 +23,28 @@ from pyspark.sql import functions as F
 
 from .common import session, texts, written
 
-#: A worker's word cache starts anew at so many words; what is returned doesn't depend on it.
-CACHE_WORDS = 400_000
-_caches: dict[str, tuple[object, dict[bytes, bytes]]] = {}
+#: A worker keeps the ids of this many words that were met lately, twice; what is returned doesn't depend on it.
+CACHE_WORDS = 350_000
+#: Marks that are a token group of their own behind an ASCII letter or digit.
+MARKS = b".,;:!?"
+_ALNUM = frozenset(b"abcdefghijklmnopqrstuvwxyz0123456789")
+#: Letters before this one are composed, and lower to one letter.
+PLAIN_LETTERS = "\u0130"
+#: Bytes that aren't printable in Latin-1 stand for letters from U+0100 on in byte-level vocabularies.
+BYTE_LETTERS = {b: chr(256 + k) for k, b in enumerate([*range(33), *range(127, 161), 173])}
+_encoders: dict[str, "WordEncoder"] = {}
+
+
+def _pack(tokens: list) -> bytes:
+    return struct.pack(f"<{len(tokens)}I", *[t.id for t in tokens])
+
+
+def _letters(word: bytes) -> str | None:
+    """The word as the vocabulary's model reads it, if it is a single run of letters whose normal form is plain to see."""
+    text = word.decode()
+    if not text.isalpha() or max(text) >= PLAIN_LETTERS:
+        return None
+    return text.lower().encode().decode("latin-1").translate(BYTE_LETTERS)
 
 
 def default_vocabulary() -> str:
@@ -35,28 +56,61 @@ def default_vocabulary() -> str:
 class WordEncoder:
     """The tokenizer's ids of a text, word by word.
 
-    The vocabulary's splitting drops white space and never joins across it, so a text's ids are those of its
-    space-separated words; a word that was met before is looked up.
+    The vocabulary's splitting lowers case, drops white space and never joins across it, so a text's ids are those of
+    its space-separated words, and those of a word that ends in marks are the word's and the marks'. A word that was met
+    before is looked up; one that wasn't met for long is forgotten.
     """
 
     def __init__(self, path: str):
-        if path not in _caches:
-            from tokenizers import Tokenizer
-
-            _caches[path] = Tokenizer.from_file(path), {}
-        self.tokenizer, self.cache = _caches[path]
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a worker for each core
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.recent: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+
+    @classmethod
+    def of(cls, path: str) -> WordEncoder:
+        return _encoders.get(path) or _encoders.setdefault(path, cls(path))
+
+    def _bases(self, bases: set[bytes]) -> dict[bytes, bytes]:
+        if len(self.recent) > CACHE_WORDS:
+            self.older, self.recent = self.recent, {}
+        recent = self.recent
+        new = bases - recent.keys()
+        if kept := new & self.older.keys():
+            recent.update((b, self.older[b]) for b in kept)
+            new -= kept
+        rest, tokenize, pack = [], self.tokenizer.model.tokenize, _pack
+        for w in new:
+            if w.isalpha():
+                recent[w] = pack(tokenize(w.decode()))
+            elif (letters := _letters(w)) is not None:
+                recent[w] = pack(tokenize(letters))
+            else:
+                rest.append(w)
+        for k in range(0, len(rest), 4000):
+            part = rest[k : k + 4000]
+            found = self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
+            recent.update((w, struct.pack(f"<{len(ids)}I", *ids)) for w, ids in zip(part, (e.ids for e in found)))
+        return recent
 
     def encode(self, docs: list[bytes]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         split = [d.split() for d in docs]
-        if len(self.cache) > CACHE_WORDS:
-            self.cache.clear()
-        if new := list({w for words in split for w in words} - self.cache.keys()):
-            for k in range(0, len(new), 20_000):
-                part = new[k : k + 20_000]
-                found = self.tokenizer.encode_batch_fast([w.decode("utf-8") for w in part], add_special_tokens=False)
-                self.cache.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(part, found))
-        get = self.cache.__getitem__
+        words = set()
+        words.update(*split)
+        cut = {}
+        for w in words:
+            base = low = w.lower()
+            if low[-1] in MARKS:
+                base = low.rstrip(MARKS)
+                if not base or base[-1] not in _ALNUM:
+                    base = low
+            cut[w] = base, low[len(base) :]
+        ids = self._bases({b for b, _ in cut.values()} | {m for _, m in cut.values() if m})
+        by_word = {w: ids[b] + ids[m] if m else ids[b] for w, (b, m) in cut.items()}
+        get = by_word.__getitem__
         return [b"".join(map(get, words)) for words in split]
 
 
@@ -64,7 +118,7 @@ def tokenized(docs: DataFrame, vocabulary: str, end_id: int = 2) -> DataFrame:
     """doc_id, part, place (offset in the partition), n and ids (little-endian 32-bit), written to the shared folder."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = WordEncoder(vocabulary), np.array([end_id], "<u4").tobytes()
+        encoder, end = WordEncoder.of(vocabulary), np.array([end_id], "<u4").tobytes()
         part, place = TaskContext.get().partitionId(), 0
         for batch in batches:
             ids = [x + end for x in encoder.encode(texts(batch))]
