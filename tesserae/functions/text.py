@@ -56,6 +56,10 @@ def terms(c: Column) -> Column:
     return F.concat(words, F.flatten(pairs))
 
 
+def _starting(w: str):
+    return lambda x: x.startswith(w)
+
+
 @dataclass(frozen=True)
 class Words:
     """What a search asks for."""
@@ -88,7 +92,7 @@ class Words:
             for w in sorted(self.exact):
                 out = out & F.array_contains(t, w)
             for w in sorted(self.prefixes):
-                out = out & F.exists(t, lambda x, w=w: x.startswith(w))
+                out = out & F.exists(t, _starting(w))
             return out
 
         # A text that doesn't hold the characters can't have the word; only others are cut into terms.

@@ -9,7 +9,7 @@ from typing import TYPE_CHECKING
 from pyspark.sql import functions as F
 
 from .errors import EngineError, invalid_argument
-from .model import Collection, Field, Schema, Type, spark_type
+from .model import Collection, Field, Schema, Type
 from .operators.changes import check_unique, default_of
 from .plans.compile import quoted
 
@@ -175,6 +175,6 @@ def _column(f: Field, before: Carried, schema: Schema):
             return F.struct(*(default_of(x[g.name] if g.name in known else F.lit(None), schema, g).alias(g.name) for g in inner.fields))
 
         value = F.transform(value, made) if f.type.item else F.when(value.isNotNull(), made(value))
-    return default_of(value, schema, f).cast(spark_type(f.type, schema))
+    return default_of(value, schema, f)
 
 

@@ -55,14 +55,15 @@ def parse_date(text: str) -> Date:
     if not found:
         raise ValueError(f"`{text}` is not a date")
     year, month, day, hour, minute, second = (int(x or 0) for x in found.groups()[:6])
-    moment = dt.datetime(year + 400, month, day, hour, minute, second, int((found[7] or "").ljust(6, "0")))
+    near = year + 400 if year < 400 else year  # the calendar repeats; Python has no year 0
+    moment = dt.datetime(near, month, day, hour, minute, second, int((found[7] or "").ljust(6, "0")))
     offset = 0
     if found[9]:
         h, m = int(found[10]), int(found[11])
         if h > 23 or m > 59:
             raise ValueError(f"`{text}` has no such offset")
         offset = (1 if found[9] == "+" else -1) * (h * 60 + m)
-    micros = (moment - EPOCH) // dt.timedelta(microseconds=1) - CYCLE - offset * 60_000_000
+    micros = (moment - EPOCH) // dt.timedelta(microseconds=1) - (near - year) // 400 * CYCLE - offset * 60_000_000
     return Date(micros)
 
 
