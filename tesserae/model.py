@@ -221,6 +221,16 @@ def spark_type(kind: Type, schema: Schema) -> T.DataType:
     return {"bool": T.BooleanType, "int": T.LongType, "float": T.DoubleType, "string": T.StringType, "bytes": T.BinaryType, "date": T.TimestampNTZType}[kind.kind]()
 
 
+def nullable(kind: T.DataType) -> T.DataType:
+    """The type with nulls allowed within lists, as a cast from a list that Spark knows no better needs it."""
+    match kind:
+        case T.ArrayType():
+            return T.ArrayType(nullable(kind.elementType), True)
+        case T.StructType():
+            return T.StructType([T.StructField(f.name, nullable(f.dataType), True) for f in kind.fields])
+    return kind
+
+
 def struct_type(c: Collection, schema: Schema) -> T.StructType:
     """The Spark type of a collection; links and the key are named in the fields' metadata."""
     out = []

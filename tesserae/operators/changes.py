@@ -6,10 +6,9 @@ from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..errors import EngineError, invalid_argument
-from ..model import AUTO_KEY, MISSING, Collection, Field, Index, Schema, fits, links_to, spark_type, struct_type
+from ..model import AUTO_KEY, MISSING, Collection, Field, Index, Schema, fits, links_to, nullable, spark_type, struct_type
 from ..plans.compile import _within, quoted
 from ..plans.resolve import resolve_path
 from ..values import Date, EPOCH, INT_MAX, literal, normal
@@ -74,25 +73,11 @@ def with_defaults(df: DataFrame, schema: Schema, c: Collection) -> DataFrame:
 
 def default_of(value: Column, schema: Schema, f: Field) -> Column:
     kind = spark_type(f.type, schema)
-    value = _cast(value, kind)
+    value = value.cast(nullable(kind))
     if not f.has_default or f.default is None:
         return value
     d = normal(f.default)
-    return F.coalesce(value, (F.array(*map(literal, d)) if isinstance(d, list) else literal(d)).cast(_nullable(kind)))
-
-
-def _cast(value: Column, kind: T.DataType) -> Column:
-    """The value as the type; lists may come with nulls as far as Spark knows."""
-    return value.cast(_nullable(kind))
-
-
-def _nullable(kind: T.DataType) -> T.DataType:
-    match kind:
-        case T.ArrayType():
-            return T.ArrayType(_nullable(kind.elementType), True)
-        case T.StructType():
-            return T.StructType([T.StructField(f.name, _nullable(f.dataType), True) for f in kind.fields])
-    return kind
+    return F.coalesce(value, (F.array(*map(literal, d)) if isinstance(d, list) else literal(d)).cast(nullable(kind)))
 
 
 def missing(df: DataFrame, c: Collection) -> None:
@@ -185,7 +170,7 @@ def constant(schema: Schema, f: Field, value: object) -> Column:
             return F.struct(*(made(x).alias(k) for k, x in v.items()))
         return F.lit(None) if v is None else literal(v)
 
-    return _cast(made(value), spark_type(f.type, schema))
+    return made(value).cast(nullable(spark_type(f.type, schema)))
 
 
 def cascade(schema: Schema, frame: Callable[[str], DataFrame], stage: Stage, name: str, keys: DataFrame) -> dict[str, DataFrame]:

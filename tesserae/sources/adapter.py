@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import invalid_argument
-from ..model import Bool, Bytes, Collection, DateType, Embedded, Field, Float, Int, Link, List, Schema, String, Type, spark_type
+from ..model import Bool, Bytes, Collection, DateType, Embedded, Field, Float, Int, Link, List, Schema, String, Type, nullable, spark_type
 
 
 def model_type(t: T.DataType) -> Type:
@@ -48,7 +48,7 @@ def conform(df: DataFrame, c: Collection, schema: Schema, copies: dict[str, str]
     """The table with the collection's types. A collection without a key gets a surrogate `id` only where one is asked for."""
     for new, old in (copies or {}).items():
         df = df.withColumn(new, F.col(old))
-    return df.select(*(F.col(f.name).cast(spark_type(f.type, schema)).alias(f.name) for f in c.all_fields if f.name in df.columns))
+    return df.select(*(F.col(f.name).cast(nullable(spark_type(f.type, schema))).alias(f.name) for f in c.all_fields if f.name in df.columns))
 
 
 #: The links among the tables that the benchmarks use.
