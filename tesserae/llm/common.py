@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of an Arrow batch of documents that goes to Python; a single longer text is a batch of its own.
-BATCH_BYTES = 24 << 20
+BATCH_BYTES = 8 << 20
 
 
 def session(spark: SparkSession) -> SparkSession:

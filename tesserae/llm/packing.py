@@ -17,11 +17,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import session, texts, written
+from .common import session, written
 
 #: A worker keeps the ids of this many words that were met lately, twice; what is returned doesn't depend on it.
 CACHE_WORDS = 350_000
@@ -57,7 +58,7 @@ class WordEncoder:
     """The tokenizer's ids of a text, word by word.
 
     The vocabulary's splitting lowers case, drops white space and never joins across it, so a text's ids are those of
-    its space-separated words, and those of a word that ends in marks are the word's and the marks'. A word that was met
+    its space-separated words, low, and those of a word that ends in marks are the word's and the marks'. A word that was met
     before is looked up; one that wasn't met for long is forgotten.
     """
 
@@ -77,8 +78,8 @@ class WordEncoder:
         if len(self.recent) > CACHE_WORDS:
             self.older, self.recent = self.recent, {}
         recent = self.recent
-        new = bases - recent.keys()
-        if kept := new & self.older.keys():
+        new = bases.difference(recent)
+        if kept := {b for b in new if b in self.older}:
             recent.update((b, self.older[b]) for b in kept)
             new -= kept
         rest, tokenize, pack = [], self.tokenizer.model.tokenize, _pack
@@ -95,37 +96,57 @@ class WordEncoder:
             recent.update((w, struct.pack(f"<{len(ids)}I", *ids)) for w, ids in zip(part, (e.ids for e in found)))
         return recent
 
-    def encode(self, docs: list[bytes]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        split = [d.split() for d in docs]
-        words = set()
-        words.update(*split)
-        cut = {}
-        for w in words:
-            base = low = w.lower()
-            if low[-1] in MARKS:
+    def ids_of(self, words: list[bytes]) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of each distinct word, its ASCII letters low."""
+        cut = []
+        for low in words:
+            base = low
+            if low and low[-1] in MARKS:
                 base = low.rstrip(MARKS)
                 if not base or base[-1] not in _ALNUM:
                     base = low
-            cut[w] = base, low[len(base) :]
-        ids = self._bases({b for b, _ in cut.values()} | {m for _, m in cut.values() if m})
-        by_word = {w: ids[b] + ids[m] if m else ids[b] for w, (b, m) in cut.items()}
-        get = by_word.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+            cut.append((base, low[len(base) :]))
+        ids = self._bases({b for b, _ in cut} | {m for _, m in cut if m})
+        return [ids[b] + ids[m] if m else ids[b] for b, m in cut]
+
+    def encode(self, column: pa.Array, end_id: int) -> tuple[pa.Array, np.ndarray]:
+        """The ids of each text with end_id behind them, as bytes, and their numbers.
+
+        Words are split and told apart by Arrow; Python sees each distinct word of the batch once.
+        """
+        lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(column.cast(pa.large_string()), "")))
+        words = lists.flatten().dictionary_encode()
+        texts_ids = [*self.ids_of(words.dictionary.cast(pa.large_binary()).to_pylist()), struct.pack("<I", end_id)]
+        sizes = np.array([len(x) // 4 for x in texts_ids], np.int64)
+        pool, begins = np.frombuffer(b"".join(texts_ids), "<u4"), np.cumsum(sizes) - sizes
+        ends = lists.offsets.to_numpy().astype(np.int64)
+        index = words.indices.to_numpy().astype(np.int64) if len(words) else np.empty(0, np.int64)
+        index = np.insert(index, ends[1:] - ends[0], len(sizes) - 1)
+        stops = ends[1:] - ends[0] + np.arange(1, len(ends))
+        total = np.concatenate(([0], np.cumsum(sizes[index])))
+        offsets = np.concatenate(([0], total[stops]))
+        out = np.empty(offsets[-1], "<u4")
+        for k in range(0, len(index), 1 << 19):  # so many words at a time, for memory
+            part = index[k : k + (1 << 19)]
+            n = sizes[part]
+            at = total[k]
+            shift = np.repeat(begins[part] - (total[k : k + len(part)] - at), n)
+            out[at : at + len(shift)] = pool[shift + np.arange(len(shift))]
+        data = pa.Array.from_buffers(pa.large_binary(), len(column), [None, pa.py_buffer(offsets * 4), pa.py_buffer(out)])
+        return data, np.diff(offsets)
 
 
 def tokenized(docs: DataFrame, vocabulary: str, end_id: int = 2) -> DataFrame:
     """doc_id, part, place (offset in the partition), n and ids (little-endian 32-bit), written to the shared folder."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = WordEncoder.of(vocabulary), np.array([end_id], "<u4").tobytes()
+        encoder = WordEncoder.of(vocabulary)
         part, place = TaskContext.get().partitionId(), 0
         for batch in batches:
-            ids = [x + end for x in encoder.encode(texts(batch))]
-            n = np.array([len(x) // 4 for x in ids], np.int64)
+            ids, n = encoder.encode(batch.column("text"), end_id)
             places = place + np.cumsum(n) - n
             place += int(n.sum())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([part] * len(ids), pa.int32()), pa.array(places), pa.array(n), pa.array(ids, pa.binary())], ["doc_id", "part", "place", "n", "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.full(len(n), part, np.int32)), pa.array(places), pa.array(n), ids.cast(pa.binary())], ["doc_id", "part", "place", "n", "ids"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
