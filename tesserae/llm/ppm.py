@@ -265,7 +265,7 @@ def scored(docs: DataFrame, trained: object, max_contexts: int = MAX_CONTEXTS) -
             n_tokens, n_known, base = [], [], []
             for d in docs:
                 found = d.translate(LOWER).split()
-                for w in {*found} - known.keys():
+                for w in {*found}.difference(known):
                     known[w] = by_hash.get(xxhash.xxh3_64_intdigest(w), 0)
                 c = np.fromiter(map(known.__getitem__, found), np.int64, len(found))
                 c = np.append(c, n_texts)
