@@ -78,7 +78,8 @@ class Trie:
     @classmethod
     def of(cls, grams: np.ndarray, counts: np.ndarray, order: int = 3) -> Trie:
         """From the counts of strings of order + 1 bytes."""
-        levels = [(grams.astype(np.uint64), counts.astype(np.int64))]
+        order_of = np.argsort(grams, kind="stable")
+        levels = [(grams.astype(np.uint64)[order_of], counts.astype(np.int64)[order_of])]
         for k in range(order, 0, -1):
             shorter, at = np.unique(levels[-1][0] & np.uint64((1 << 8 * k) - 1), return_inverse=True)
             levels.append((shorter, np.bincount(at, levels[-1][1], len(shorter)).astype(np.int64)))
@@ -88,31 +89,20 @@ class Trie:
             return cls(0, [np.zeros(1, np.uint64)], [uniform.astype(np.float32)])
         below: tuple[np.ndarray, ...] | None = None
         for length, (keys, n) in enumerate(reversed(levels)):
-            context, row = np.unique(keys >> np.uint64(8), return_inverse=True)
-            symbol = (keys & np.uint64(255)).astype(np.int64)
-            table = np.zeros((len(context), 256), np.float64)
-            table[row, symbol] = n
-            seen = table > 0
-            total, distinct = table.sum(1, keepdims=True), seen.sum(1, keepdims=True)
-            with np.errstate(divide="ignore", invalid="ignore"):
-                direct = np.log10((total + distinct) / table)
-                escape = np.log10((total + distinct) / distinct)
-            if below is None:
-                rest = 256 - distinct
-                after = np.where(rest > 0, np.log10(np.maximum(rest, 1.0)), 0.0) + np.zeros((1, 256))
-            else:
-                # From this context to the next shorter one, without the symbols seen here.
-                b_context, b_table, b_after = below
-                at = np.searchsorted(b_context, context & np.uint64((1 << 8 * (length - 1)) - 1)) if length > 1 else np.zeros(len(context), np.int64)
-                n_below = b_table[at]
-                open_ = (n_below > 0) & ~seen
-                left, kinds = (n_below * open_).sum(1, keepdims=True), open_.sum(1, keepdims=True)
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    here = np.log10((left + kinds) / n_below)
-                    on = np.where(kinds > 0, np.log10((left + kinds) / kinds), 0.0)
-                after = np.where(open_, here, on + b_after[at])
-            # An escape that can't be needed, as all 256 symbols are known, is never read.
-            costs.append(np.where(seen, direct, escape + after).astype(np.float32))
+            context, first = np.unique(keys >> np.uint64(8), return_index=True)
+            first = np.append(first, len(keys))
+            table = np.zeros((len(context), 256), np.float32)
+            after = np.zeros((len(context), 256), np.float32) if length < order else None
+            cost = np.zeros((len(context), 256), np.float32)
+            for k in range(0, len(context), 1024):  # so many contexts at a time, for memory
+                part = slice(k, min(k + 1024, len(context)))
+                own = slice(first[k], first[part.stop])
+                counts = np.zeros((part.stop - k, 256))
+                counts[np.repeat(np.arange(part.stop - k), np.diff(first[k : part.stop + 1])), (keys[own] & np.uint64(255)).astype(np.int64)] = n[own]
+                cost[part], behind = _costs(length, context[part], counts, below)
+                if after is not None:
+                    after[part], table[part] = behind, counts
+            costs.append(cost)
             contexts.append(context)
             below = context, table, after
         return cls(order, contexts, costs)
@@ -121,6 +111,27 @@ class Trie:
         return Reader(self)
 
 
+def _costs(length: int, context: np.ndarray, counts: np.ndarray, below: tuple[np.ndarray, ...] | None) -> tuple[np.ndarray, np.ndarray]:
+    """Code lengths in the contexts (a row each), and those behind an escape from them."""
+    seen = counts > 0
+    total, distinct = counts.sum(1, keepdims=True), seen.sum(1, keepdims=True)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        direct, escape = np.log10((total + distinct) / counts), np.log10((total + distinct) / distinct)
+        if below is None:
+            behind = np.log10(np.maximum(256 - distinct, 1.0)) + np.zeros((1, 256))
+        else:
+            # From here to the next shorter context, without the symbols seen here.
+            b_context, b_counts, b_behind = below
+            at = np.searchsorted(b_context, context & np.uint64((1 << 8 * (length - 1)) - 1)) if length > 1 else np.zeros(len(context), np.int64)
+            known = b_counts[at].astype(np.float64)
+            open_ = (known > 0) & ~seen
+            left, kinds = (known * open_).sum(1, keepdims=True), open_.sum(1, keepdims=True)
+            on = np.where(kinds > 0, np.log10((left + kinds) / np.maximum(kinds, 1)), 0.0)
+            behind = np.where(open_, np.log10((left + kinds) / known), on + b_behind[at])
+    # An escape that can't be needed, as all 256 symbols are known, is never read.
+    return np.where(seen, direct, escape + behind), behind
+
+
 class Reader:
     """The trie with a direct map from contexts to rows, made once in a worker."""
 
