@@ -4,8 +4,8 @@ Conditions are two-valued, Spark's are three-valued. A filter is compiled by pol
 predicate will do, for rows where it is null are dropped; where it must not hold, the negation is written so that a
 null keeps the row (`NOT x <=> v`, `x IS NULL OR NOT x < v`). Both forms reach the Parquet scan, unlike a coalesce.
 
-Links are joins: to-one links are left joins to the target's columns, one per distinct prefix of paths, which Catalyst
-turns to inner joins where a condition allows it; to-many links and backlinks are semi-joins by key where they stand
+Links are joins: to-one links are left joins to the target's columns, one per distinct prefix of paths, or inner joins
+where a conjunct of the filter tests what they lead to; to-many links and backlinks are semi-joins by key where they stand
 among the conjuncts of the filter, or joins to a flag per key where they stand under OR or NOT. Spark picks the join
 strategy by the sizes it sees; nothing is broadcast by force.
 """
@@ -41,6 +41,7 @@ class Plan:
         self.columns = self.df.columns
         self.joined: dict[tuple[str, ...], Callable[[str], Column]] = {}
         self.numbers = numbers or itertools.count()
+        self.how = "left"
 
     @property
     def key(self) -> Column:
@@ -65,7 +66,7 @@ class Plan:
             tag = f"__t{next(self.numbers)}_"
             right = self.frames(target.name)
             right = right.select(*(quoted(c).alias(tag + c) for c in right.columns))
-            self.df = self.df.join(right, link == quoted(tag + target.key_name), "left")
+            self.df = self.df.join(right, link == quoted(tag + target.key_name), self.how)
             self.joined[prefix] = lambda name: quoted(tag + name)
         return self.joined[prefix]
 
@@ -82,11 +83,14 @@ class Plan:
             if isinstance(bare, ir.Linked):
                 later.append((bare, bare is item))
                 continue
-            if isinstance(bare, ir.Test) and (keys := self.to_many(bare)) is not None and bare is item and bare.op != "IS NULL":
+            if isinstance(item, ir.Test) and item.op != "IS NULL" and (keys := self.to_many(item)) is not None:
                 self.df = self.df.join(keys, self.key == quoted(keys.columns[0]), "left_semi")
                 continue
+            # A test that must hold of what a link leads to drops the rows whose links lead to nothing.
+            self.how = "inner" if isinstance(item, ir.Test) and item.op != "IS NULL" else "left"
             held = self.holds(item)  # may join first
             self.df = self.df.where(held)
+            self.how = "left"
         for linked, positive in later:
             keys = self.linking(linked)
             self.df = self.df.join(keys, self.key == quoted(keys.columns[0]), "left_semi" if positive else "left_anti")
