@@ -13,7 +13,9 @@ documents. The work is cut up so that no index holds more than a bounded part of
    From these the matching statistics of all other positions follow, each one less than its predecessor's. A start
    whose statistic reaches `length` repeats.
 4. An anchor with more than HOT_CONTEXTS distinct contexts (a passage in very many documents, at its edges) isn't put
-   in one index: its strings are dealt out by a hash of their own and counted. This is exact as well.
+   in one index. Its strings are halved by the offset of the anchor in them: a range of offsets is done with for a
+   context if no other one has the bytes that all strings of the range share, or if one has all bytes of the range.
+   Groups are counted by hash, so none meets in one task, and few rows are made per context. This is exact as well.
 
 Documents meet contexts and marks by digest, so copies are handled once.
 
@@ -35,8 +37,10 @@ from pyspark.sql import functions as F
 from .common import session, texts, written
 
 K = 128
-PIECE = 1 << 20
-HOT_CONTEXTS, INDEX_BYTES = 4096, 1_500_000
+PIECE = 1 << 16
+HOT_CONTEXTS, INDEX_BYTES = 1024, 120_000
+#: Ranges of 2 ** TOP_LEVEL offsets are what halving begins with.
+TOP_LEVEL = 5
 _POSITION = np.uint64((1 << 21) - 1)
 _tables: dict[int, tuple[np.ndarray, ...]] = {}
 
@@ -74,60 +78,98 @@ def _least(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[: n - width + 1], ahead[width - 1 : n])
 
 
-def contexts(text: bytes, length: int, k: int) -> Iterator[tuple[int, int, int]]:
-    """(anchor hash, first start, last start) of each context; long texts are gone through in pieces of starts."""
-    data = np.frombuffer(text, np.uint8)
-    for begin in range(0, len(data) - length + 1, PIECE):
-        piece = data[begin : begin + PIECE + length - 1]
-        hashes = gram_hashes(piece, k)
-        keyed = (hashes & ~_POSITION) | np.arange(len(hashes), dtype=np.uint64)
-        anchor = (_least(keyed, length - k + 1) & _POSITION).astype(np.int64)
-        first = np.flatnonzero(np.concatenate(([True], anchor[1:] != anchor[:-1])))
-        last = np.append(first[1:], len(anchor)) - 1
-        yield from zip(hashes[anchor[first]].view(np.int64).tolist(), (first + begin).tolist(), (last + begin).tolist())
+def contexts(docs: list[bytes], length: int, k: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """(document, anchor hash, anchor's place, first start, last start) of the contexts: arrays for about PIECE bytes of documents at a time.
+
+    Longer documents are cut into pieces of starts, each with the bytes that its last start needs.
+    """
+    held: list[tuple[int, int, bytes]] = []
+    size = 0
+    for n, text in enumerate(docs):
+        for begin in range(0, len(text) - length + 1, PIECE):
+            part = text[begin : begin + PIECE + length - 1]
+            held.append((n, begin, part))
+            size += len(part)
+            if size >= PIECE:
+                yield _contexts(held, length, k)
+                held, size = [], 0
+    if held:
+        yield _contexts(held, length, k)
+
+
+def _contexts(held: list[tuple[int, int, bytes]], length: int, k: int) -> tuple[np.ndarray, ...]:
+    hashes = gram_hashes(np.frombuffer(b"".join(x[2] for x in held), np.uint8), k)
+    keyed = (hashes & ~_POSITION) | np.arange(len(hashes), dtype=np.uint64)
+    anchor = (_least(keyed, length - k + 1) & _POSITION).astype(np.int64)
+    sizes = np.array([len(x[2]) for x in held], np.int64)
+    ends = np.cumsum(sizes)
+    begins = ends - sizes
+    # Starts whose strings reach into the next document are none.
+    edge = np.zeros(len(anchor) + 1, np.int8)
+    edge[begins] += 1
+    edge[ends - length + 1] -= 1
+    inside = np.cumsum(edge[:-1]).astype(bool)
+    new = np.concatenate(([True], anchor[1:] != anchor[:-1]))
+    new[begins] = True
+    first = np.flatnonzero(inside & new)
+    last = np.append(first[1:], len(anchor)) - 1
+    owner = np.searchsorted(ends, first, "right")
+    last = np.minimum(last, ends[owner] - length)
+    back = np.array([x[1] for x in held], np.int64)[owner] - begins[owner]
+    at = anchor[first]
+    return np.array([x[0] for x in held], np.int64)[owner], hashes[at].view(np.int64), at + back, first + back, last + back
 
 
 class RunLengthIndex:
-    """A run-compressed Burrows-Wheeler transform of several strings, with samples at the ends of its runs."""
+    """A run-compressed Burrows-Wheeler transform of several strings, with samples at the ends of its runs.
+
+    The text is all strings, each with a zero byte behind it; zero bytes within strings don't matter, as starts are judged
+    by the distance to their string's end too.
+    """
 
     def __init__(self, strings: list[bytes]):
         sizes = np.array([len(s) for s in strings], np.int64)
         self.starts = np.cumsum(sizes + 1) - sizes - 1
-        data = np.frombuffer(b"\0".join([*strings, b""]), np.uint8)
-        symbols = data.astype(np.int64)
-        symbols[self.starts + sizes] = 256 + np.arange(len(strings))  # each string's end is a symbol of its own
-        self.size = len(symbols)
-        ranks, lengths = self._ranks(symbols)
-        suffixes = np.argsort(ranks[-1], kind="stable")
-        before = symbols[suffixes - 1]
+        text = np.frombuffer(b"\0".join([*strings, b""]), np.uint8)
+        self.size = n = len(text)
+        self.room = np.repeat(self.starts + sizes, sizes + 1) - np.arange(n)
+        ranks, lengths = self._ranks(text)
+        suffixes = np.empty(n, np.int64)
+        suffixes[ranks[-1]] = np.arange(n)
+        before = text[suffixes - 1].astype(np.int16)
+        before[ranks[-1][0]] = -1  # before the first position there is nothing: a run of its own
         change = np.flatnonzero(before[1:] != before[:-1]) + 1
-        heads, tails = np.concatenate(([0], change)), np.append(change, self.size) - 1
-        self.characters, self.run_lengths = before[heads], np.diff(np.append(heads, self.size))
-        # The text's first position always starts a run of its own: the symbol before it is the last string's end.
-        self.head_samples = suffixes[heads], self._common(symbols, ranks, lengths, suffixes, heads, heads - 1)
-        self.tail_samples = suffixes[tails], self._common(symbols, ranks, lengths, suffixes, tails, tails + 1)
-
-    def _ranks(self, symbols: np.ndarray) -> tuple[list[np.ndarray], list[int]]:
-        """The ranks of all substrings of 3, 6, 12 ... symbols, until all are distinct."""
-        n = len(symbols)
-        padded = np.concatenate((symbols + 1, [0, 0]))
-        key = (padded[:n] << 42) | (padded[1 : n + 1] << 21) | padded[2:]
-        ranks, lengths = [], [3]
+        heads, tails = np.concatenate(([0], change)), np.append(change, n) - 1
+        self.characters, self.run_lengths = before[heads], np.diff(np.append(heads, n))
+        self.head_samples = suffixes[heads], self._common(text, ranks, lengths, suffixes, heads, heads - 1)
+        self.tail_samples = suffixes[tails], self._common(text, ranks, lengths, suffixes, tails, tails + 1)
+
+    @staticmethod
+    def _ranks(text: np.ndarray) -> tuple[list[np.ndarray], list[int]]:
+        """The ranks of all substrings of 7, 14, 28 ... bytes (the text's end is less than any byte), until all are distinct."""
+        n = len(text)
+        padded = np.concatenate((text.astype(np.uint64) + np.uint64(1), np.zeros(7, np.uint64)))
+        key = padded[:n].copy()
+        for k in range(1, 7):
+            key = key * np.uint64(257) + padded[k : n + k]
+        ranks, lengths = [], [7]
         while True:
             order = np.argsort(key)
             ordered = key[order]
-            rank = np.empty(n, np.int64)
-            rank[order] = np.concatenate(([0], np.cumsum(ordered[1:] != ordered[:-1])))
+            rank = np.empty(n, np.int32)
+            steps = np.cumsum(ordered[1:] != ordered[:-1], dtype=np.int32)
+            rank[order[:1]] = 0
+            rank[order[1:]] = steps
             ranks.append(rank)
-            if n == 0 or rank.max(initial=0) == n - 1:
+            if n == 1 or steps[-1] == n - 1:
                 return ranks, lengths
             step = lengths[-1]
-            key = rank * (n + 1)
-            key[: max(0, n - step)] += rank[step:] + 1
+            key = rank.astype(np.uint64) << np.uint64(32)
+            key[: max(0, n - step)] |= (rank[step:] + 1).astype(np.uint64)
             lengths.append(2 * step)
 
     @staticmethod
-    def _common(symbols: np.ndarray, ranks: list[np.ndarray], lengths: list[int], suffixes: np.ndarray, rows: np.ndarray, others: np.ndarray) -> np.ndarray:
+    def _common(text: np.ndarray, ranks: list[np.ndarray], lengths: list[int], suffixes: np.ndarray, rows: np.ndarray, others: np.ndarray) -> np.ndarray:
         """The length of the common prefix of the suffixes in the rows; 0 beyond the first or last row."""
         n = len(suffixes)
         common = np.zeros(len(rows), np.int64)
@@ -136,24 +178,24 @@ class RunLengthIndex:
         shared = np.zeros(len(at), np.int64)
         for rank, length in zip(reversed(ranks), reversed(lengths)):
             x, y = a + shared, b + shared
-            inside = (x < n) & (y < n)
-            same = inside & (rank[np.minimum(x, n - 1)] == rank[np.minimum(y, n - 1)])
-            shared[same] += length
-        for _ in range(2):  # the shortest ranks are those of three symbols; ends are symbols of their own, so both places lie inside
-            more = symbols[np.minimum(a + shared, n - 1)] == symbols[np.minimum(b + shared, n - 1)]
-            shared += more
+            same = rank[np.minimum(x, n - 1)] == rank[np.minimum(y, n - 1)]
+            shared[same & (np.maximum(x, y) < n)] += length
+        for _ in range(6):  # the shortest ranks are those of seven bytes
+            x, y = a + shared, b + shared
+            shared += (text[np.minimum(x, n - 1)] == text[np.minimum(y, n - 1)]) & (np.maximum(x, y) < n)
         common[at] = shared
         return common
 
     def matching_statistics(self) -> np.ndarray:
-        """For each position (the strings' ends included), the longest prefix that also starts elsewhere."""
-        best = np.zeros(self.size, np.int64)
-        for places, common in (self.head_samples, self.tail_samples):
-            sampled = np.full(self.size, -1, np.int64)
-            sampled[places] = common
-            last = np.maximum.accumulate(np.where(sampled >= 0, np.arange(self.size), 0))
-            best = np.maximum(best, sampled[last] - (np.arange(self.size) - last))
-        return best
+        """For each position (the strings' ends included), the longest prefix, within its string, that also starts elsewhere."""
+        best, places = np.zeros(self.size, np.int64), np.arange(self.size)
+        for sampled, common in (self.head_samples, self.tail_samples):
+            # From a sample on, each position's value is one less than the one before, up to the next sample.
+            last, value = np.zeros(self.size, np.int64), np.zeros(self.size, np.int64)
+            last[sampled], value[sampled] = sampled, common
+            last = np.maximum.accumulate(last)
+            best = np.maximum(best, value[last] - (places - last))
+        return np.minimum(best, self.room)
 
     def repeats(self, length: int) -> list[list[tuple[int, int]]]:
         """For each string, the ranges of starts (from, to) whose `length` symbols also start elsewhere."""
@@ -177,20 +219,11 @@ def _anchors(length: int, k: int):
 
         h = xxhash.xxh3_64_intdigest
         for batch in batches:
-            rows: list[tuple[int, int, int]] = []
-            digests, sizes, whole = batch.column("__digest").to_pylist(), [], []
-            found: dict[bytes, tuple[list, list]] = {}
-            for digest, text in zip(digests, texts(batch)):
-                if (own := found.get(digest)) is None:
-                    own_rows = list(contexts(text, length, k))
-                    own = found[digest] = own_rows, [h(text[a : b + length]) for _, a, b in own_rows]
-                rows += own[0]
-                whole += own[1]
-                sizes.append(len(own[0]))
-            if rows:
-                anchor, first, last = (np.array(x) for x in zip(*rows))
-                d = batch.column("__digest").take(pa.array(np.repeat(np.arange(len(sizes)), sizes)))
-                yield pa.RecordBatch.from_arrays([d, pa.array(anchor), pa.array(np.array(whole, np.uint64).view(np.int64)), pa.array(first), pa.array(last)], ["d", "h", "ctx", "lo", "hi"])
+            docs = texts(batch)
+            for owner, anchor, at, first, last in contexts(docs, length, k):
+                whole = [h(docs[n][a : b + length]) for n, a, b in zip(owner.tolist(), first.tolist(), last.tolist())]
+                d = batch.column("__digest").take(pa.array(owner))
+                yield pa.RecordBatch.from_arrays([d, pa.array(anchor), pa.array(np.array(whole, np.uint64).view(np.int64)), pa.array((at - first).astype(np.int32)), pa.array(first), pa.array(last)], ["d", "h", "ctx", "at", "lo", "hi"])
 
     return run
 
@@ -199,8 +232,8 @@ def _extract(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for text, wanted in zip(texts(batch), batch.column("wanted").to_pylist()):
-                columns = [pa.array([w[c] for w in wanted], pa.int64()) for c in ("h", "ctx", "n")]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array([text[w["lo"] : w["hi"] + length] for w in wanted], pa.binary())], ["h", "ctx", "n", "bytes"])
+                columns = [pa.array([w[c] for w in wanted], pa.int64()) for c in ("h", "ctx", "n", "at")]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array([text[w["lo"] : w["hi"] + length] for w in wanted], pa.binary())], ["h", "ctx", "n", "at", "bytes"])
 
     return run
 
@@ -230,17 +263,42 @@ def _indexed(length: int):
     return run
 
 
-def _windows(length: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
-        for batch in batches:
-            for h, ctx, data in zip(*(batch.column(c).to_pylist() for c in ("h", "ctx", "bytes"))):
-                n = len(data) - length + 1
-                hashes = np.array([xxhash.xxh3_64_intdigest(data[k : k + length]) for k in range(n)], np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, h)), pa.array(np.full(n, ctx)), pa.array(np.arange(n)), pa.array(hashes)], ["h", "ctx", "a", "w"])
-
-    return run
+def _halved(hot: DataFrame, length: int, k: int) -> DataFrame:
+    """(h, ctx, a, b) for the contexts (h, ctx, at, bytes) of hot anchors, by halving the ranges of the anchor's offset.
+
+    A string that starts `o` bytes before the anchor has the offset o. A context has the offsets at - starts + 1 to at.
+    """
+    top = length - k
+    level = TOP_LEVEL
+    n_starts = F.octet_length("bytes") - (length - 1)
+    first = F.floor(F.greatest(F.col("at") - n_starts + 1, F.lit(0)) / 2**level)
+    state = hot.select("h", "ctx", "at", "bytes", F.explode(F.sequence(first, F.floor(F.col("at") / 2**level))).alias("node"), F.lit(False).alias("done"))
+    marks = []
+    while True:
+        low, high = F.col("node") * 2**level, F.least(F.col("node") * 2**level + (2**level - 1), F.lit(top))
+        piece = lambda left, right: F.xxhash64(F.substring(F.col("bytes"), F.col("at") - left + 1, left + k + right))
+        rows = state.where((low <= F.col("at")) & (high >= F.col("at") - n_starts + 1))
+        rows = rows.withColumns({"low": low, "high": high})
+        rows = rows.withColumn("core", piece(F.col("low"), top - F.col("high")))
+        # A context that is done with stays as a partner of those that aren't.
+        shared = rows.groupBy("h", "node", "core").agg(F.count("*").alias("n"), F.min("done").alias("all_done")).where("n > 1 and not all_done").drop("n", "all_done")
+        rows = rows.join(shared, ["h", "node", "core"], "left_semi")
+        # Of contexts that are alike in all their strings of the range, one stays as a partner of the others.
+        least, most = F.greatest(F.col("low"), F.col("at") - n_starts + 1), F.least(F.col("high"), F.col("at"))
+        rows = rows.withColumns({"least": least, "most": most})
+        rows = written(rows.withColumn("whole", F.xxhash64("least", "most", piece(F.col("most"), top - F.col("least")))), "suffix-halves")
+        alike = rows.groupBy("h", "node", "whole").agg(F.count("*").alias("alike"), F.min("ctx").alias("stays")).where("alike > 1")
+        rows = rows.join(alike, ["h", "node", "whole"], "left")
+        marks.append(rows.where("alike is not null and not done").select("h", "ctx", (F.col("at") - F.col("most")).cast("long").alias("a"), (F.col("at") - F.col("least") + 1).cast("long").alias("b")))
+        if not level:
+            break
+        level -= 1
+        rest = rows.where("alike is null or ctx = stays").select("h", "ctx", "at", "bytes", "node", (F.col("done") | F.col("alike").isNotNull()).alias("done"))
+        state = rest.withColumn("node", F.col("node") * 2).union(rest.withColumn("node", F.col("node") * 2 + 1))
+    out = marks[0]
+    for m in marks[1:]:
+        out = out.union(m)
+    return out
 
 
 def repeats(docs: DataFrame, length: int = 400, k: int = K, hot_contexts: int = HOT_CONTEXTS) -> DataFrame:
@@ -249,24 +307,23 @@ def repeats(docs: DataFrame, length: int = 400, k: int = K, hot_contexts: int =
         raise ValueError("an anchor isn't longer than the strings")
     spark = session(docs.sparkSession)
     source = _digested(docs.select("text"))
-    anchors = written(source.mapInArrow(_anchors(length, k), "d binary, h long, ctx long, lo long, hi long"), "suffix-anchors")
+    anchors = written(source.mapInArrow(_anchors(length, k), "d binary, h long, ctx long, at int, lo long, hi long"), "suffix-anchors")
     often = anchors.groupBy("h").agg(F.count("*").alias("n"), (F.min("ctx") != F.max("ctx")).alias("varied")).where("n > 1").drop("n")
     shared = written(anchors.join(often, "h"), "suffix-shared")
     _release(spark)
-    kinds = shared.groupBy("h", "ctx").agg(F.count("*").alias("n"), F.first("varied").alias("varied"), F.min(F.struct("d", "lo", "hi")).alias("one"))
+    kinds = shared.groupBy("h", "ctx").agg(F.count("*").alias("n"), F.first("varied").alias("varied"), F.min(F.struct("d", "lo", "hi", "at")).alias("one"))
     kinds = written(kinds, "suffix-contexts")
-    wanted = kinds.where("varied").groupBy(F.col("one.d").alias("d")).agg(F.collect_list(F.struct("h", "ctx", "n", "one.lo", "one.hi")).alias("wanted"))
+    wanted = kinds.where("varied").groupBy(F.col("one.d").alias("d")).agg(F.collect_list(F.struct("h", "ctx", "n", "one.at", "one.lo", "one.hi")).alias("wanted"))
     once = source.where(F.octet_length("text") >= length).withColumnRenamed("__digest", "d").dropDuplicates(["d"])
-    bodies = once.join(wanted, "d").select("text", "wanted").mapInArrow(_extract(length), "h long, ctx long, n long, bytes binary")
+    bodies = once.join(wanted, "d").select("text", "wanted").mapInArrow(_extract(length), "h long, ctx long, n long, at long, bytes binary")
     bodies = written(bodies, "suffix-bodies")
     _release(spark)
     sizes = bodies.groupBy("h").count().where(F.col("count") > hot_contexts).select("h")
     cool = bodies.join(sizes, "h", "left_anti").repartition("h").sortWithinPartitions("h")
-    hot = bodies.join(sizes, "h", "left_semi")
+    hot = written(bodies.join(sizes, "h", "left_semi"), "suffix-hot")
     marks = cool.mapInArrow(_indexed(length), "h long, ctx long, a long, b long")
-    strings = hot.mapInArrow(_windows(length), "h long, ctx long, a long, w long")
-    twice = strings.groupBy("h", "w").count().where(F.col("count") > 1).drop("count")
-    marks = marks.union(strings.join(twice, ["h", "w"]).select("h", "ctx", "a", (F.col("a") + 1).alias("b")))
+    if not hot.isEmpty():
+        marks = marks.union(_halved(hot, length, k))
     whole = kinds.where("n > 1").select("h", "ctx", F.lit(0).cast("long").alias("a"), F.lit(1 << 40).alias("b"))
     marks = written(whole.union(marks.join(kinds.where("n > 1").select("h", "ctx"), ["h", "ctx"], "left_anti")), "suffix-marks")
     _release(spark)
