@@ -28,6 +28,7 @@ SCHEMA = Schema.of(
     ),
 )
 
+#: The rows that the rules' expected results belong to.
 TEAMS = [{"name": "north", "city": "Seoul"}]
 PLAYERS = [
     {"score": 3, "rating": 0.0, "handle": "ace", "tags": ["red", "blue"], "team": "north"},

@@ -34,6 +34,7 @@ def ids(players, query, *values):
     return found
 
 
+#: Queries and the keys they find, in order.
 CASES = [
     (F.handle != "ace", [3]),
     (F.handle.is_null(), [2, 4]),
