@@ -14,7 +14,7 @@ from .builder import ignore_case
 from .database import Database, Reader, prepare
 from .errors import EngineError
 from .migrate import Migration
-from .model import Collection, Field, Float, Index, Int, Link, Schema, String
+from .model import Collection, Embedded, Field, Float, Index, Int, Link, List, Schema, String
 from .operators.textindex import index_terms, search
 from .sources.adapter import Tables
 from .sources.trees import TREES, Trees
@@ -303,6 +303,119 @@ def s9_trees(spark: SparkSession, d: str) -> DataFrame:
     return Trees(db.read()).range("names", b"C", b"J").select(F.col("key").cast("string").alias("name"), F.col("value").cast("string").alias("value"))
 
 
+def derived(spark: SparkSession, d: str, name: str) -> Reader:
+    """Collections with what plain tables lack: embedded objects, lists of strings, embedded objects and links, self-links."""
+    raw = Tables(spark, d, ("documents", "orders", "lineitem", "part", "nation", "customer", "region", "supplier")).raw
+    frames = {
+        "articles": lambda: raw["documents"].selectExpr("doc_id", "struct(lang, source) as meta", "array(lang, source) as tags", "array(struct(lang as word, cast(n_chars as bigint) as n), struct(source as word, cast(null as bigint) as n)) as marks"),
+        "parts": lambda: raw["part"].selectExpr("cast(p_partkey as bigint) as p_partkey", "p_name", "cast(p_size as bigint) as p_size"),
+        "baskets": lambda: raw["lineitem"].groupBy(F.col("l_orderkey").cast("long").alias("o_orderkey")).agg(F.array_distinct(F.collect_list(F.col("l_partkey").cast("long"))).alias("parts")),
+        "nations": lambda: raw["nation"].selectExpr("cast(n_nationkey as bigint) as n_nationkey", "n_name", "cast((n_nationkey + 1) % 25 as bigint) as neighbour"),
+    }
+    schema = Schema.of(
+        1,
+        Collection.of("articles", Field("doc_id", Int), Field("meta", Embedded(Field("lang", String), Field("source", String)), optional=True), Field("tags", List(String), optional=True), Field("marks", List(Embedded(Field("word", String), Field("n", Int, optional=True))), optional=True), key="doc_id"),
+        Collection.of("parts", Field("p_partkey", Int), Field("p_name", String), Field("p_size", Int), key="p_partkey"),
+        Collection.of("baskets", Field("o_orderkey", Int), Field("parts", List(Link("parts")), optional=True), key="o_orderkey"),
+        Collection.of("nations", Field("n_nationkey", Int), Field("n_name", String), Field("neighbour", Link("nations"), optional=True), key="n_nationkey"),
+    )
+    return Reader(schema, lambda n: frames[n](), name)
+
+
+def derived_query(name: str, collection: str, query: object, column: str, sql: str) -> None:
+    QUERIES[name] = lambda spark, d: derived(spark, d, collection).find(query, ordered=False).select(column)
+    SQL[name] = sql
+
+
+derived_query("f19_list_fold", "articles", 'tags CONTAINS "SRC3" IGNORE CASE', "doc_id", "SELECT doc_id FROM documents WHERE lower(source) = 'src3' OR lower(lang) = 'src3'")
+derived_query("f28_embedded", "articles", 'meta.lang == "de" AND NOT meta.source STARTSWITH "src1"', "doc_id", "SELECT doc_id FROM documents WHERE lang = 'de' AND NOT starts_with(source, 'src1')")
+derived_query("f30_embedded_list", "articles", 'marks.n > 5000 OR marks.word == "src7"', "doc_id", "SELECT doc_id FROM documents WHERE n_chars > 5000 OR source = 'src7' OR lang = 'src7'")
+derived_query("f30_null_in_list", "articles", "marks.n IS NULL", "doc_id", "SELECT doc_id FROM documents")
+BASKETS = "SELECT DISTINCT CAST(l_orderkey AS BIGINT) AS o_orderkey FROM lineitem"
+derived_query("j6_to_many", "baskets", "parts.p_size == 50", "o_orderkey", f"{BASKETS} JOIN part ON p_partkey = l_partkey WHERE p_size = 50")
+derived_query("j6_to_many_not", "baskets", 'NOT parts.p_name STARTSWITH "small"', "o_orderkey", f"{BASKETS} WHERE l_orderkey NOT IN (SELECT l_orderkey FROM lineitem JOIN part ON p_partkey = l_partkey WHERE starts_with(p_name, 'small'))")
+derived_query("j4_backlink_list", "parts", "ANY baskets.parts (o_orderkey < 100)", "p_partkey", "SELECT CAST(p_partkey AS BIGINT) AS p_partkey FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_orderkey < 100)")
+derived_query("j7_self_link", "nations", "neighbour.neighbour.n_nationkey < 5", "n_nationkey", "SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey FROM nation WHERE (n_nationkey + 2) % 25 < 5")
+derived_query("j5_self_anti", "nations", "NOT ANY nations.neighbour (n_nationkey >= 10)", "n_nationkey", "SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey FROM nation WHERE (n_nationkey + 24) % 25 < 10")
+found("s4_point", "customer", "c_custkey == 77", "c_custkey, c_name", "c_custkey = 77")
+found("s6_ranges", "part", "(p_size >= 48 OR p_size < 3) AND p_retailprice > 1000", "p_partkey, p_size", "(p_size >= 48 OR p_size < 3) AND p_retailprice > 1000")
+found("j3_key_set", "orders", 'o_custkey.c_name IN ["Customer#000000007", "Customer#000000010"] OR o_custkey IN [1, 4]', "o_orderkey, o_custkey", "o_custkey IN (1, 4) OR o_custkey IN (SELECT c_custkey FROM customer WHERE c_name IN ('Customer#000000007', 'Customer#000000010'))")
+found("j8_two_sets", "lineitem", "l_partkey.p_size > 40 AND l_suppkey.s_acctbal > 5000.0", "l_orderkey, l_partkey", "l_partkey IN (SELECT p_partkey FROM part WHERE p_size > 40) AND l_suppkey IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 5000)")
+ranked("o2_key_order", "customer", "LIMIT 20 OFFSET 5", "c_name", "c_custkey", "LIMIT 20 OFFSET 5")
+ranked("o7_reverse", "part", "SORT BY p_size DESC LIMIT 40", "p_name, p_retailprice", "p_size DESC, p_partkey", "LIMIT 40")
+scalar("a9_one_column", lambda s, d: reader(s, d, "lineitem").avg("l_quantity"), "double", "SELECT fsum(l_quantity) / count(*) AS value FROM lineitem")
+
+
+@registered("SELECT count(*) AS value FROM orders WHERE o_orderstatus = 'F'")
+def s8_visit(spark: SparkSession, d: str) -> DataFrame:
+    """Rows visited where they are, counted with an accumulator."""
+    seen = spark.sparkContext.accumulator(0)
+    reader(spark, d, "orders").visit(lambda rows: [seen.add(1) for _ in rows] and None, 'o_orderstatus == "F"')
+    return spark.createDataFrame([(seen.value,)], "value long")
+
+
+@registered("SELECT * FROM (VALUES ('first', CAST(2 AS BIGINT)), ('second', 2), ('later', 3)) t(reader, number)")
+def s10_commits(spark: SparkSession, d: str) -> DataFrame:
+    """A reader keeps its commit while others come."""
+    db = shop(spark, d, "customer")
+    first = db.read()
+    second = db.read()
+    with db.write() as txn:
+        txn.collection("customer").update(1, {"c_acctbal": 0.5})
+    rows = [("first", first), ("second", second), ("later", db.read())]
+    return spark.createDataFrame([(n, t.commit.number) for n, t in rows], "reader string, number long")
+
+
+@registered("SELECT CAST(c_custkey AS BIGINT) AS c_custkey, CASE WHEN c_custkey < 10 THEN 'x' ELSE c_mktsegment END AS c_mktsegment FROM customer")
+def w8_typed_change(spark: SparkSession, d: str) -> DataFrame:
+    db = shop(spark, d, "customer")
+    with db.write() as txn:
+        txn.collection("customer").change(query=f.c_custkey < 10, c_mktsegment="x")
+    return db.read().frame("customer").select("c_custkey", "c_mktsegment")
+
+
+@registered("SELECT * FROM (VALUES ('declared', 'SCHEMA_MISMATCH'), ('older', 'SCHEMA_TOO_NEW'), ('same', 'OPEN')) t(schema, outcome)")
+def m1_resolve(spark: SparkSession, d: str) -> DataFrame:
+    root = f"{shared_dir(spark)}/resolve-{uuid.uuid4().hex}"
+    two = Schema.of(2, Collection.of("a", Field("x", Int, default=0)))
+    Database.open(spark, root, two)
+    rows = []
+    for name, schema in (("declared", Schema.of(2, Collection.of("a", Field("y", Int, default=0)))), ("older", Schema.of(1, *two.collections)), ("same", two)):
+        try:
+            Database.open(spark, root, schema)
+            rows.append((name, "OPEN"))
+        except EngineError as e:
+            rows.append((name, e.code))
+    return spark.createDataFrame(rows, "schema string, outcome string")
+
+
+@registered("SELECT CAST(c_custkey AS BIGINT) AS c_custkey, CASE WHEN c_acctbal < 0 THEN 'debtor' ELSE c_name END AS c_name FROM customer")
+def m3_migration_function(spark: SparkSession, d: str) -> DataFrame:
+    db = shop(spark, d, "customer")
+    old = SHOP.find("customer")
+
+    def mark(before, now):
+        assert before.schema.version == 1
+        now.collection("customer").update_where("c_acctbal < 0.0", {"c_name": "debtor"})
+
+    new = Schema.of(2, Collection.of("customer", *old.fields, key=old.key), *SHOP.collections[1:])
+    return Database.open(spark, db.store.root, new, [Migration(2, run=mark)]).read().frame("customer").select("c_custkey", "c_name")
+
+
+@registered("SELECT 'BUSY' AS code")
+def t6_conflict(spark: SparkSession, d: str) -> DataFrame:
+    db = shop(spark, d, "customer")
+    code = "none"
+    try:
+        with db.write() as txn:
+            txn.collection("customer").delete(1)
+            with db.write() as other:
+                other.collection("customer").delete(2)
+    except EngineError as e:
+        code = e.code
+    return spark.createDataFrame([(code,)], "code string")
+
+
 def queries() -> dict[str, Run]:
     return dict(QUERIES)
 
