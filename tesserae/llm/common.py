@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
-import tempfile
+import contextlib
+import ctypes
+import gc
 import uuid
-import zlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.workspace import shared_dir
+
 #: Bytes of an Arrow batch of documents that goes to Python; a single longer text is a batch of its own.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 
 def session(spark: SparkSession) -> SparkSession:
@@ -23,15 +27,6 @@ def session(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir, or a new one where it is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = tempfile.mkdtemp(prefix="tesserae-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write df to a table in the shared folder and read it back: lineage is cut, and a lost executor loses nothing."""
     spark = df.sparkSession
@@ -40,15 +35,42 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete a table that `written` made and nothing needs any more."""
+    spark = df.sparkSession
+    if files := df.inputFiles():
+        path = spark._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Shuffle files that nothing refers to any more go once both collectors of the driver have run."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def frugal(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A function for mapInArrow that gives the memory of its worker back at the end of a partition: workers are used again."""
+
+    def wrapped(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        give_back()
+
+    return wrapped
+
+
+def give_back() -> None:
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def crc_mod(column: str, modulus: int) -> Column:
     """crc32(the id as text) mod modulus; the text of a null id is empty."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % modulus
 
 
-def crc_mod_of(value: object, modulus: int) -> int:
-    return zlib.crc32(b"" if value is None else str(value).encode()) % modulus
-
-
 def texts(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
     """The column's texts as UTF-8 bytes; null is empty."""
     return [x or b"" for x in batch.column(column).cast(pa.binary()).to_pylist()]

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, roots_of, session, texts, written
+from .common import components, frugal, roots_of, session, texts, written
 
 HOT_CELL = 20_000
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -70,7 +70,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), fps], ["doc_id", "fp"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, fp long")
+    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(frugal(run), f"doc_id {kind}, fp long")
 
 
 def _cell_links(batches: Iterator[pa.RecordBatch], distance: int) -> Iterator[pa.RecordBatch]:
@@ -136,7 +136,7 @@ def links(nodes: DataFrame, distance: int = 3, hot_cell: int = HOT_CELL) -> Data
     pair = F.xxhash64("cell", F.least("mine", "other"), F.greatest("mine", "other"))
     placed = placed.select("fp", "home", F.when(F.col("other") < 0, F.col("cell")).otherwise(pair).alias("cell"))
     # Home or visitor: a cell that is empty of homes links nothing.
-    return placed.repartition("cell").mapInArrow(lambda x: _cell_links(x, distance), "a long, b long")
+    return placed.repartition("cell").mapInArrow(frugal(lambda x: _cell_links(x, distance)), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 3, hot_cell: int = HOT_CELL) -> DataFrame:

@@ -25,7 +25,6 @@ shorter than `length` stays whole. In `remove_repeats`, a character that loses s
 
 from __future__ import annotations
 
-import gc
 import hashlib
 from collections.abc import Iterator
 
@@ -34,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import session, texts, written
+from .common import frugal, release, session, texts, written
 
 K = 128
 PIECE = 1 << 16
@@ -307,37 +306,32 @@ def repeats(docs: DataFrame, length: int = 400, k: int = K, hot_contexts: int =
         raise ValueError("an anchor isn't longer than the strings")
     spark = session(docs.sparkSession)
     source = _digested(docs.select("text"))
-    anchors = written(source.mapInArrow(_anchors(length, k), "d binary, h long, ctx long, at int, lo long, hi long"), "suffix-anchors")
+    anchors = written(source.mapInArrow(frugal(_anchors(length, k)), "d binary, h long, ctx long, at int, lo long, hi long"), "suffix-anchors")
     often = anchors.groupBy("h").agg(F.count("*").alias("n"), (F.min("ctx") != F.max("ctx")).alias("varied")).where("n > 1").drop("n")
-    shared = written(anchors.join(often, "h"), "suffix-shared")
-    _release(spark)
+    # Read back, both sides of the join are plain, and Spark can split the partitions of anchors that are very common.
+    shared = written(anchors.join(written(often, "suffix-often"), "h"), "suffix-shared")
+    release(spark)
     kinds = shared.groupBy("h", "ctx").agg(F.count("*").alias("n"), F.first("varied").alias("varied"), F.min(F.struct("d", "lo", "hi", "at")).alias("one"))
     kinds = written(kinds, "suffix-contexts")
     wanted = kinds.where("varied").groupBy(F.col("one.d").alias("d")).agg(F.collect_list(F.struct("h", "ctx", "n", "one.at", "one.lo", "one.hi")).alias("wanted"))
     once = source.where(F.octet_length("text") >= length).withColumnRenamed("__digest", "d").dropDuplicates(["d"])
     bodies = once.join(wanted, "d").select("text", "wanted").mapInArrow(_extract(length), "h long, ctx long, n long, at long, bytes binary")
     bodies = written(bodies, "suffix-bodies")
-    _release(spark)
+    release(spark)
     sizes = bodies.groupBy("h").count().where(F.col("count") > hot_contexts).select("h")
     cool = bodies.join(sizes, "h", "left_anti").repartition("h").sortWithinPartitions("h")
     hot = written(bodies.join(sizes, "h", "left_semi"), "suffix-hot")
-    marks = cool.mapInArrow(_indexed(length), "h long, ctx long, a long, b long")
+    marks = cool.mapInArrow(frugal(_indexed(length)), "h long, ctx long, a long, b long")
     if not hot.isEmpty():
         marks = marks.union(_halved(hot, length, k))
     whole = kinds.where("n > 1").select("h", "ctx", F.lit(0).cast("long").alias("a"), F.lit(1 << 40).alias("b"))
     marks = written(whole.union(marks.join(kinds.where("n > 1").select("h", "ctx"), ["h", "ctx"], "left_anti")), "suffix-marks")
-    _release(spark)
+    release(spark)
     found = shared.select("d", "h", "ctx", "lo", "hi").distinct().join(marks, ["h", "ctx"])
     span = F.struct((F.col("lo") + F.col("a")).alias("a"), F.least(F.col("lo") + F.col("b"), F.col("hi") + 1).alias("b"))
     return found.groupBy("d").agg(F.collect_list(span).alias("ranges"))
 
 
-def _release(spark) -> None:
-    """Shuffle files that nothing refers to any more go once both collectors have run."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def removed_spans(ranges: list[dict], length: int) -> list[tuple[int, int]]:
     """Maximal runs of bytes that the strings starting in the ranges cover."""
     out: list[list[int]] = []
