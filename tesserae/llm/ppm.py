@@ -1,14 +1,15 @@
 """Language-model scoring: prediction by partial matching over bytes, and add-one word counts beside it.
 
-The model is a trie of byte contexts. Each training text is framed by three zero bytes before and one behind it, and
-the counts of its 4-byte strings hold those of all shorter contexts. A symbol is coded in its 3-byte context; if that
+The model is a trie of byte contexts. Each training text is framed by zero bytes before and one behind it, and the counts
+of its strings of ORDER + 1 bytes hold those of all shorter contexts. A symbol is coded in its longest context; if that
 never preceded it, an escape (method C: distinct symbols over count plus distinct) leads to the next shorter context,
 where symbols that the longer one has seen are excluded, down to a uniform choice among the symbols never seen. With
-counts fixed, a symbol's code length depends on it and its three predecessors only, so the trie is unfolded into one
-row of code lengths per context, and a text's score is a sum of look-ups over its bytes and its end.
+counts fixed, what a step costs depends on the context and the symbol alone, so the trie is unfolded into sorted tables
+of costs per context length; a text's bytes are looked up in the longest one, and those not found go on to the next.
 
-Contexts are three bytes long, or two where more than MAX_CONTEXTS of three occur: the table then has at most 65,536
-rows, so what is broadcast is bounded for any corpus.
+Counts leave a partition as packed arrays per bucket of strings and are merged in rounds of bounded width. The trie has
+at most MAX_STRINGS strings of its greatest length; if there are more, that length is one less (and so on: of two bytes
+there are 65,536), so what is broadcast is bounded for any corpus.
 
 Word counts are exact over all training texts. Texts are written in blocks of about BLOCK_BYTES; a block asks for the
 counts of its distinct words, the answers are joined by word (a 64-bit hash) and meet the block's texts again.
@@ -27,121 +28,135 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, session, texts, written
+from .common import crc_mod, discard, frugal, release, session, texts, written
 from .simhash import LOWER
 
-MAX_CONTEXTS, BLOCK_BYTES = 120_000, 16_000_000
-FRAME, END = b"\0\0\0", b"\0"
+ORDER, MAX_STRINGS, BLOCK_BYTES = 5, 4_000_000, 16_000_000
+FRAME, END = b"\0" * ORDER, b"\0"
+BUCKETS, WIDTH = 64, 64
 
 
 def _framed(docs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """All texts framed in one buffer, and the place of each text's first coded byte."""
     buffer = np.frombuffer(b"".join(x for d in docs for x in (FRAME, d, END)), np.uint8)
-    sizes = np.array([len(d) + 4 for d in docs], np.int64)
-    return buffer, np.cumsum(sizes) - sizes + 3
+    sizes = np.array([len(d) + ORDER + 1 for d in docs], np.int64)
+    return buffer, np.cumsum(sizes) - sizes + ORDER
 
 
-def gram_counts(docs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """The 4-byte strings (big-endian) that end at a coded byte, and their counts."""
+def _keys(buffer: np.ndarray, n: int) -> np.ndarray:
+    """Big-endian numbers of each n bytes in a row."""
+    out = buffer[: len(buffer) - n + 1].astype(np.uint64)
+    for k in range(1, n):
+        out <<= np.uint64(8)
+        out |= buffer[k : len(buffer) - n + 1 + k]
+    return out
+
+
+def _summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys, sorted, and the sums of their n."""
+    if not len(keys):
+        return keys, n
+    order = np.argsort(keys)
+    keys = keys[order]
+    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+    return keys[first], np.add.reduceat(n[order], first)
+
+
+def string_counts(docs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The strings of ORDER + 1 bytes that end at a coded byte, and their counts."""
     if not docs:
-        return np.empty(0, np.uint32), np.empty(0, np.int64)
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
     buffer, starts = _framed(docs)
-    grams = _keys(buffer, 4)
     keep = np.ones(len(buffer), bool)
-    for k in (1, 2, 3):
+    for k in range(1, ORDER + 1):
         keep[starts - k] = False
-    grams = np.sort(grams[keep[3:]])
-    first = np.flatnonzero(np.concatenate(([True], grams[1:] != grams[:-1])))
-    return grams[first], np.diff(np.append(first, len(grams)))
+    keys = np.sort(_keys(buffer, ORDER + 1)[keep[ORDER:]])
+    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+    return keys[first], np.diff(np.append(first, len(keys)))
 
 
-def _keys(buffer: np.ndarray, n: int) -> np.ndarray:
-    """Big-endian numbers of each n bytes in a row."""
-    out = buffer[: len(buffer) - n + 1].astype(np.uint32)
-    for k in range(1, n):
-        out <<= np.uint32(8)
-        out |= buffer[k : len(buffer) - n + 1 + k]
-    return out
+def _packed(keys: np.ndarray, n: np.ndarray) -> bytes:
+    """Sorted keys and their counts, as planes of bytes, which compress well."""
+    both = np.concatenate((np.diff(keys, prepend=np.uint64(0)), n.astype(np.uint64)))
+    return both.view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    both = np.frombuffer(data, np.uint8).reshape(8, -1).T.copy().view(np.uint64).reshape(-1)
+    half = len(both) // 2
+    return np.cumsum(both[:half], dtype=np.uint64), both[half:].astype(np.int64)
+
+
+def _bucketed(keys: np.ndarray, n: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
+    """(bucket, number of strings, packed) of the strings, dealt by a hash."""
+    bucket = (keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(58)
+    for b in range(BUCKETS):
+        at = bucket == b
+        if at.any():
+            yield b, int(at.sum()), _packed(keys[at], n[at])
 
 
 @dataclass
-class Trie:
-    """Code lengths (negative log10) by context: rows of 256 for each known context of each length."""
+class Level:
+    """The strings of one length: a context and a symbol each. Costs are negative log10 probabilities."""
+
+    keys: np.ndarray  # sorted
+    direct: np.ndarray  # of the symbol, nothing excluded
+    log_count: np.ndarray
+    contexts: np.ndarray  # sorted
+    escape: np.ndarray  # from the context
+    left: np.ndarray  # log10 of count plus distinct symbols of the next shorter context, without the symbols seen here
+    onward: np.ndarray  # of an escape from that one too
 
-    order: int
-    contexts: list[np.ndarray]  # by length, sorted numbers of the known contexts
-    costs: list[np.ndarray]  # by length, a row per known context: cost where nothing longer is known
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the keys are among the strings, and whether they are."""
+        return _find(self.keys, keys)
+
+
+def _find(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
+    return at, table[at] == keys
+
+
+@dataclass
+class Trie:
+    levels: list[Level]  # by the length of contexts
 
     @classmethod
-    def of(cls, grams: np.ndarray, counts: np.ndarray, order: int = 3) -> Trie:
+    def of(cls, keys: np.ndarray, n: np.ndarray, order: int = ORDER) -> Trie:
         """From the counts of strings of order + 1 bytes."""
-        order_of = np.argsort(grams, kind="stable")
-        levels = [(grams.astype(np.uint64)[order_of], counts.astype(np.int64)[order_of])]
+        if not len(keys):
+            return cls([])
+        keys, n = _summed(keys.astype(np.uint64), n.astype(np.int64))
+        levels: list[Level] = []
+        counts = [(keys, n)]
         for k in range(order, 0, -1):
-            shorter, at = np.unique(levels[-1][0] & np.uint64((1 << 8 * k) - 1), return_inverse=True)
-            levels.append((shorter, np.bincount(at, levels[-1][1], len(shorter)).astype(np.int64)))
-        contexts, costs = [], []
-        uniform = np.full((1, 256), np.log10(256.0))
-        if not len(grams):
-            return cls(0, [np.zeros(1, np.uint64)], [uniform.astype(np.float32)])
-        below: tuple[np.ndarray, ...] | None = None
-        for length, (keys, n) in enumerate(reversed(levels)):
-            context, first = np.unique(keys >> np.uint64(8), return_index=True)
-            first = np.append(first, len(keys))
-            table = np.zeros((len(context), 256), np.float32)
-            after = np.zeros((len(context), 256), np.float32) if length < order else None
-            cost = np.zeros((len(context), 256), np.float32)
-            for k in range(0, len(context), 1024):  # so many contexts at a time, for memory
-                part = slice(k, min(k + 1024, len(context)))
-                own = slice(first[k], first[part.stop])
-                counts = np.zeros((part.stop - k, 256))
-                counts[np.repeat(np.arange(part.stop - k), np.diff(first[k : part.stop + 1])), (keys[own] & np.uint64(255)).astype(np.int64)] = n[own]
-                cost[part], behind = _costs(length, context[part], counts, below)
-                if after is not None:
-                    after[part], table[part] = behind, counts
-            costs.append(cost)
-            contexts.append(context)
-            below = context, table, after
-        return cls(order, contexts, costs)
-
-    def reader(self) -> Reader:
-        return Reader(self)
-
-
-def _costs(length: int, context: np.ndarray, counts: np.ndarray, below: tuple[np.ndarray, ...] | None) -> tuple[np.ndarray, np.ndarray]:
-    """Code lengths in the contexts (a row each), and those behind an escape from them."""
-    seen = counts > 0
-    total, distinct = counts.sum(1, keepdims=True), seen.sum(1, keepdims=True)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        direct, escape = np.log10((total + distinct) / counts), np.log10((total + distinct) / distinct)
-        if below is None:
-            behind = np.log10(np.maximum(256 - distinct, 1.0)) + np.zeros((1, 256))
-        else:
-            # From here to the next shorter context, without the symbols seen here.
-            b_context, b_counts, b_behind = below
-            at = np.searchsorted(b_context, context & np.uint64((1 << 8 * (length - 1)) - 1)) if length > 1 else np.zeros(len(context), np.int64)
-            known = b_counts[at].astype(np.float64)
-            open_ = (known > 0) & ~seen
-            left, kinds = (known * open_).sum(1, keepdims=True), open_.sum(1, keepdims=True)
-            on = np.where(kinds > 0, np.log10((left + kinds) / np.maximum(kinds, 1)), 0.0)
-            behind = np.where(open_, np.log10((left + kinds) / known), on + b_behind[at])
-    # An escape that can't be needed, as all 256 symbols are known, is never read.
-    return np.where(seen, direct, escape + behind), behind
-
-
-class Reader:
-    """The trie with a direct map from contexts to rows, made once in a worker."""
-
-    def __init__(self, trie: Trie):
-        self.trie = trie
-        self.maps = []
-        for length, context in enumerate(trie.contexts):
-            places = np.full(256**length, -1, np.int32)
-            places[context.astype(np.int64)] = np.arange(len(context))
-            self.maps.append(places)
+            counts.append(_summed(counts[-1][0] & np.uint64((1 << 8 * k) - 1), counts[-1][1]))
+        shorter: tuple[np.ndarray, ...] = ()
+        for length, (keys, n) in enumerate(reversed(counts)):
+            context = keys >> np.uint64(8)
+            first = np.flatnonzero(np.concatenate(([True], context[1:] != context[:-1])))
+            distinct = np.diff(np.append(first, len(keys)))
+            total = np.add.reduceat(n, first)
+            context = context[first]
+            if length:
+                mask = np.uint64((1 << 8 * length) - 1)
+                at, _ = _find(shorter[2], context & np.uint64((1 << 8 * (length - 1)) - 1))
+                seen = np.add.reduceat(shorter[1][_find(shorter[0], keys & mask)[0]], first)
+                left, kinds = shorter[3][at] - seen, shorter[4][at] - distinct
+            else:
+                left, kinds = np.zeros(1, np.int64), 256 - distinct
+            some = kinds > 0
+            onward = np.where(some, np.log10(np.maximum(left + kinds, 1) / np.maximum(kinds, 1)), 0.0) if length else np.log10(np.maximum(kinds, 1.0))
+            direct = np.log10(np.repeat(total + distinct, distinct) / n)
+            values = direct, np.log10(n), np.log10((total + distinct) / distinct), np.log10(np.maximum(left + kinds, 1)), onward
+            direct, log_count, escape, left, onward = (v.astype(np.float32) for v in values)
+            levels.append(Level(keys, direct, log_count, context, escape, left, onward))
+            shorter = keys, n, context, total, distinct
+        return cls(levels)
 
     def scores(self, docs: list[bytes]) -> list[float]:
         """The log10 probability of each text and its end."""
@@ -160,22 +175,46 @@ class Reader:
         if not docs:
             return []
         buffer, starts = _framed(docs)
-        order = self.trie.order
-        symbols = buffer[3:]
-        numbers = _keys(buffer[3 - order : -1], order) if order else np.zeros(len(symbols), np.uint32)
-        row = self.maps[order][numbers]
-        cost = self.trie.costs[order][row, symbols]
-        missing = np.flatnonzero(row < 0)
-        for length in range(order - 1, -1, -1):
-            if not len(missing):
-                break
-            row = self.maps[length][numbers[missing] & np.uint32((1 << 8 * length) - 1)]
-            cost[missing] = self.trie.costs[length][row, symbols[missing]]
-            missing = missing[row < 0]
+        order = len(self.levels) - 1
+        first = starts - ORDER
+        if order < 0:
+            cost = np.full(len(buffer) - ORDER, np.log10(256.0))
+        else:
+            keys = _keys(buffer[ORDER - order :], order + 1)
+            by_key = np.argsort(keys)
+            cost = np.empty(len(keys))
+            cost[by_key] = self._costs(keys[by_key])
         # What stands between two texts is the next one's frame.
-        for k in (1, 2, 3):
-            cost[(starts - 3 - k)[1:]] = 0
-        return (-np.add.reduceat(cost, starts - 3, dtype=np.float64)).tolist()
+        for k in range(1, ORDER + 1):
+            cost[(first - k)[1:]] = 0
+        return (-np.add.reduceat(cost, first, dtype=np.float64)).tolist()
+
+    def _costs(self, keys: np.ndarray) -> np.ndarray:
+        """The code length of each string's last byte in the context of the others; keys are sorted."""
+        top = self.levels[-1]
+        at, found = top.find(keys)
+        cost = top.direct[at].astype(np.float64)
+        rest = np.flatnonzero(~found)  # strings that aren't coded yet
+        cost[rest] = 0
+        excluding = np.zeros(len(rest), bool)  # whether a longer context has been escaped from
+        above = np.zeros(len(rest), np.int64)  # that context's place
+        keys = keys[rest]
+        for length in range(len(self.levels) - 1, -1, -1):
+            level = self.levels[length]
+            if length < len(self.levels) - 1:
+                keys = keys & np.uint64((1 << 8 * (length + 1)) - 1)
+                at, found = level.find(keys)
+                longer = self.levels[length + 1]
+                step = np.where(excluding, np.where(found, longer.left[above] - level.log_count[at], longer.onward[above]), np.where(found, level.direct[at], 0.0))
+                cost[rest] += step
+                rest, keys, excluding = rest[~found], keys[~found], excluding[~found]
+            if not len(rest):
+                return cost
+            above, known = _find(level.contexts, keys >> np.uint64(8))
+            cost[rest] += np.where(known & ~excluding, level.escape[above], 0.0)
+            excluding = excluding | known
+        cost[rest] += self.levels[0].onward[0]
+        return cost
 
 
 def _blocks(docs: DataFrame) -> DataFrame:
@@ -194,35 +233,36 @@ def _blocks(docs: DataFrame) -> DataFrame:
     return written(rows.mapInArrow(run, f"doc_id {kind}, text string, trained boolean, block long"), "ppm-texts")
 
 
-WORD, GRAM, TEXTS = 0, 1, 2
+WORD, STRINGS, TEXTS = 0, 1, 2
+COUNTS = "kind int, block long, key long, n long, data binary"
 
 
 def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(kind, block, key, n): n of a block's words and of the partition's 4-byte strings in training texts, and the number of these texts."""
+    """(kind, block, key, n, data): n of a block's words in training texts, the partition's strings by bucket, and the number of these texts."""
     import xxhash
 
-    names = ["kind", "block", "key", "n"]
+    part = TaskContext.get().partitionId()
 
-    def rows(kind: int, block: int, key: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def rows(kind: int, block: int, key: np.ndarray, n: np.ndarray, data: list[bytes] | None = None) -> Iterator[pa.RecordBatch]:
         for k in range(0, len(key), 100_000):
-            part = slice(k, k + 100_000)
-            size = len(key[part])
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(size, kind, np.int32)), pa.array(np.full(size, block, np.int64)), pa.array(key[part]), pa.array(n[part])], names)
+            cut = slice(k, k + 100_000)
+            size = len(key[cut])
+            blob = pa.nulls(size, pa.binary()) if data is None else pa.array(data[cut], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(size, kind, np.int32)), pa.array(np.full(size, block, np.int64)), pa.array(key[cut]), pa.array(n[cut]), blob], ["kind", "block", "key", "n", "data"])
 
     def of_block(block: int, words: Counter[bytes]) -> Iterator[pa.RecordBatch]:
         key = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words), np.uint64, len(words)).view(np.int64)
         yield from rows(WORD, block, key, np.fromiter(words.values(), np.int64, len(words)))
 
     words: Counter[bytes] = Counter()
-    grams, counts, now, trained_texts = np.empty(0, np.uint32), np.empty(0, np.int64), None, 0
+    strings, counts, now, trained_texts = np.empty(0, np.uint64), np.empty(0, np.int64), None, 0
     for batch in batches:
         docs = texts(batch)
         trained, blocks = batch.column("trained").to_pylist(), batch.column("block").to_pylist()
         learned = [d for d, t in zip(docs, trained) if t]
         trained_texts += len(learned)
-        more, n = gram_counts(learned)
-        both, at = np.unique(np.concatenate((grams, more)), return_inverse=True)
-        grams, counts = both, np.bincount(at, np.concatenate((counts, n)), len(both)).astype(np.int64)
+        more, n = string_counts(learned)
+        strings, counts = _summed(np.concatenate((strings, more)), np.concatenate((counts, n)))
         for d, t, b in zip(docs, trained, blocks):
             if b != now:
                 if words:
@@ -232,42 +272,81 @@ def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             words.update(found if t else dict.fromkeys(found, 0))
     if words:
         yield from of_block(now, words)
-    yield from rows(GRAM, -1, grams.astype(np.int64), counts)
-    yield from rows(TEXTS, -1, np.zeros(1, np.int64), np.array([trained_texts], np.int64))
+    for bucket, size, data in _bucketed(strings, counts):
+        yield from rows(STRINGS, part, np.array([bucket]), np.array([size]), [data])
+    yield from rows(TEXTS, part, np.zeros(1, np.int64), np.array([trained_texts], np.int64))
+
+
+PACKS = "key long, block long, n long, data binary"
+
+
+def _merge(table: pa.Table) -> pa.Table:
+    """One pack of a bucket's packs."""
+    keys, n = np.empty(0, np.uint64), np.empty(0, np.int64)
+    for data in table["data"].to_pylist():
+        k, c = _unpacked(data)
+        keys, n = np.concatenate((keys, k)), np.concatenate((n, c))
+        if len(keys) > 4_000_000:
+            keys, n = _summed(keys, n)
+    keys, n = _summed(keys, n)
+    return pa.table({"key": table["key"][:1].combine_chunks(), "block": table["group"][:1].combine_chunks(), "n": [len(keys)], "data": [_packed(keys, n)]}, schema=pa.schema([("key", pa.int64()), ("block", pa.int64()), ("n", pa.int64()), ("data", pa.binary())]))
+
+
+def _merged(packs: DataFrame) -> DataFrame:
+    """One pack per bucket: rounds that merge at most WIDTH packs at once."""
+    groups = packs.select("block").distinct().count()
+    while True:
+        groups = max(1, -(-groups // WIDTH))
+        packs = written(packs.withColumn("group", F.pmod(F.col("block"), F.lit(groups))).groupBy("key", "group").applyInArrow(_merge, PACKS), "ppm-strings")
+        if groups == 1:
+            return packs
+
+
+def _shortened(mask: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for source, data in zip(batch.column("key").to_pylist(), batch.column("data").to_pylist()):
+                keys, n = _unpacked(data)
+                rows = [(b, source, size, d) for b, size, d in _bucketed(*_summed(keys & np.uint64(mask), n))]
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.binary()))], ["key", "block", "n", "data"])
+
+    return run
 
 
-def _trie(grams: DataFrame, max_contexts: int) -> Trie:
-    """The trie from (key, n) of 4-byte strings; the counts come to the driver once their number is known to be bounded."""
-    grams = grams.groupBy("key").agg(F.sum("n").alias("n"))
-    order = 3
-    if grams.select(F.shiftright("key", 8)).distinct().count() > max_contexts:
-        order = 2  # 2 ** 24 strings at most
-        grams = grams.groupBy(F.expr("key & 16777215L").alias("key")).agg(F.sum("n").alias("n"))
-    found = grams.toArrow()
-    return Trie.of(found["key"].to_numpy(), found["n"].to_numpy(), order)
+def _trie(packs: DataFrame, max_strings: int) -> Trie:
+    """The trie from packs of strings; they come to the driver once their number is known to be within the bound."""
+    order, packs = ORDER, _merged(packs)
+    while order > 1 and (packs.agg(F.sum("n")).first()[0] or 0) > max_strings:
+        packs = _merged(packs.mapInArrow(_shortened((1 << 8 * order) - 1), PACKS))
+        order -= 1
+    found = [_unpacked(bytes(r.data)) for r in packs.select("data").toLocalIterator()]
+    if not found:
+        return Trie([])
+    return Trie.of(np.concatenate([k for k, _ in found]), np.concatenate([n for _, n in found]), order)
 
 
-def scored(docs: DataFrame, trained: object, max_contexts: int = MAX_CONTEXTS) -> DataFrame:
+def scored(docs: DataFrame, trained: Column, max_strings: int = MAX_STRINGS) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score and score; trained: the condition of training texts."""
     spark = session(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    blocks = _blocks(docs.withColumn("trained", F.coalesce(trained, F.lit(False))) if "trained" not in docs.columns else docs.drop("trained").withColumn("trained", F.coalesce(trained, F.lit(False))))
-    found = written(blocks.select("text", "trained", "block").mapInArrow(_statistics, "kind int, block long, key long, n long"), "ppm-counts")
-    trie = _trie(found.where(F.col("kind") == GRAM).select("key", "n"), max_contexts)
+    blocks = _blocks(docs.withColumn("trained", F.coalesce(trained, F.lit(False))))
+    found = written(blocks.select("text", "trained", "block").mapInArrow(frugal(_statistics), COUNTS), "ppm-counts")
+    trie = _trie(found.where(F.col("kind") == STRINGS).select("key", "block", "n", "data"), max_strings)
     n_texts = int(found.where(F.col("kind") == TEXTS).agg(F.sum("n")).first()[0] or 0)
     asked = found.where(F.col("kind") == WORD).select("block", "key", "n")
     words = written(asked.groupBy("key").agg(F.sum("n").alias("c")).where("c > 0"), "ppm-words")
+    release(spark)
     n_words, distinct = words.agg(F.sum("c"), F.count("*")).first()
     total, distinct = int(n_words or 0) + n_texts, distinct + (n_texts > 0)
-    answers = asked.select("block", "key").join(words, "key").select("block", "key", "c")
+    answers = written(asked.select("block", "key").join(words, "key").select("block", "key", "c"), "ppm-answers")
+    discard(found)
+    release(spark)
     shared = spark.sparkContext.broadcast(trie)
     logs = np.log10(total + distinct + 1)
-    readers: dict[int, Reader] = {}
 
     def score(block: pa.Table, counts: pa.Table) -> pa.Table:
         import xxhash
 
-        reader = readers.get(0) or readers.setdefault(0, shared.value.reader())
         by_hash = dict(zip(counts["key"].to_numpy().view(np.uint64).tolist(), counts["c"].to_numpy().tolist()))
         known: dict[bytes, int] = {}
         out: list[pa.Table] = []
@@ -283,7 +362,7 @@ def scored(docs: DataFrame, trained: object, max_contexts: int = MAX_CONTEXTS) -
                 n_tokens.append(len(c))
                 n_known.append(int((c > 0).sum()))
                 base.append(float(np.log10(c + 1.0).sum() - len(c) * logs))
-            values = [n_tokens, n_known, [total] * len(docs), base, reader.scores(docs)]
+            values = [n_tokens, n_known, [total] * len(docs), base, shared.value.scores(docs)]
             kinds = [pa.int64()] * 3 + [pa.float64()] * 2
             out.append(pa.Table.from_arrays([batch.column("doc_id"), batch.column("trained"), *(pa.array(v, k) for v, k in zip(values, kinds))], NAMES))
         return pa.concat_tables(out) if out else pa.Table.from_batches([], pa.schema([("doc_id", block.schema.field("doc_id").type), ("trained", pa.bool_()), *zip(NAMES[2:], [pa.int64()] * 3 + [pa.float64()] * 2)]))
