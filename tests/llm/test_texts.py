@@ -60,7 +60,7 @@ def test_sequences_and_digests(corpus):
 
 def test_words_encode_as_whole_texts():
     odd = ["a'b. it's. don't, x'. 's. é. á. ß!? Á, <|endoftext|>. a<|endoftext|>b Σας. ΣΑΣ. %%%. a%. 12.5. 3.. . x\x85y q\x1cq İ. 日本。 ﬁ. Ⅷ. ½. a̸. ≠. x　.", "", "  ", None, " lead ÀÉ ùÿ Œ. \x0b\x0c\x1f µ ª º"]
-    ids, n = packing.WordEncoder.of(packing.default_vocabulary()).encode(pa.array(odd), 2)
+    ids, n = packing.WordEncoder(packing.default_vocabulary()).encode(pa.array(odd), 2)
     assert [np.frombuffer(x, "<u4").tolist() for x in ids.to_pylist()] == [brute_ids(t) for t in odd] and n.tolist() == [len(brute_ids(t)) for t in odd]
 
 
@@ -168,7 +168,7 @@ def test_toxicity_learns_and_undoes_obfuscation(spark, nothing):
     found = toxicity.classified(docs, labels)
     assert accuracy(found, labels.withColumnRenamed("toxic", "label"), 0.7) > 0.97
     model = toxicity.fit(docs, labels)
-    for text in ("you 1d10t there", "an id1ot!", "m o r o n", "l-o-s-e-r there", "you idiooooot", "a m0r0n.", "1diot"):
+    for text in ("you 1d10t there", "an id1ot!", "m o r o n", "l-o-s-e-r there", "you idiooooot", "a m0r0n.", "1diot", "an id*ot", "i  d  i  o  t", "lloosseerr", '"moron"!', "1d107"):
         assert model.score(text) >= 0.7, text
     for text in ("", "the inner onering", "call 1-800-555 now", "a b c d e f", "on the reedan ******", "version 3.0.1 of it"):
         assert model.score(text) < 0.7, text
@@ -196,12 +196,12 @@ def brute_ppm(trained, text, order):
     """PPM with method C escapes and exclusion, straight from the counts."""
     counts = {}
     for t in trained:
-        data = b"\0\0\0" + t + b"\0"
-        for k in range(3, len(data)):
+        data = b"\0" * 5 + t + b"\0"
+        for k in range(5, len(data)):
             for size in range(order + 1):
                 counts.setdefault(data[k - size : k], Counter())[data[k]] += 1
-    total, data = 0.0, b"\0\0\0" + text + b"\0"
-    for k in range(3, len(data)):
+    total, data = 0.0, b"\0" * 5 + text + b"\0"
+    for k in range(5, len(data)):
         excluded, size = set(), order
         while True:
             seen = counts.get(data[k - size : k] if size else b"", Counter()) if size >= 0 else None
@@ -220,13 +220,15 @@ def brute_ppm(trained, text, order):
     return total
 
 
-@pytest.mark.parametrize("max_contexts", [ppm.MAX_CONTEXTS, 10])
-def test_ppm_equals_brute_force(corpus, max_contexts):
+@pytest.mark.parametrize("order", [5, 2, 1])
+def test_ppm_equals_brute_force(corpus, order):
     rows = corpus.where("length(text) < 900 or text is null").collect()
     df = corpus.where("length(text) < 900 or text is null")
     held = lambda d: zlib.crc32(b"" if d is None else str(d).encode()) % 7 == 2
     low = lambda t: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "").encode().split()
     trained = [r.text or "" for r in rows if not held(r.doc_id)]
+    framed = [b"\0" * 5 + t.encode() + b"\0" for t in trained]
+    max_strings = len({d[k - order : k + 1] for d in framed for k in range(5, len(d))})  # those of the next length are more
     c = Counter(w for t in trained for w in low(t))
     c[None] = len(trained)
     n, v = sum(c.values()), len(c)
@@ -234,8 +236,8 @@ def test_ppm_equals_brute_force(corpus, max_contexts):
     for r in rows:
         ws = [*low(r.text), None]
         base = sum(math.log10((c[w] + 1) / (n + v + 1)) for w in ws)
-        expected.setdefault((r.doc_id, r.text), (held(r.doc_id), len(ws), sum(c[w] > 0 for w in ws), n, base, brute_ppm([t.encode() for t in trained], (r.text or "").encode(), 3 if max_contexts > 10 else 2)))
-    found = ppm.held_out_scores(df) if max_contexts > 10 else ppm.scored(df, ppm.crc_mod("doc_id", 7) != 2, max_contexts).selectExpr("doc_id", "not trained as held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+        expected.setdefault((r.doc_id, r.text), (held(r.doc_id), len(ws), sum(c[w] > 0 for w in ws), n, base, brute_ppm([t.encode() for t in trained], (r.text or "").encode(), order)))
+    found = ppm.held_out_scores(df) if order == 5 else ppm.scored(df, ppm.crc_mod("doc_id", 7) != 2, max_strings).selectExpr("doc_id", "not trained as held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
     got = sorted(([*r] for r in found.collect()), key=repr)
     want = sorted(([r.doc_id, *expected[r.doc_id, r.text]] for r in rows), key=repr)
     assert len(got) == len(want)
