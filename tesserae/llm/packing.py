@@ -22,10 +22,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import session, written
+from .common import frugal, session, written
 
-#: A worker keeps the ids of this many words that were met lately, twice; what is returned doesn't depend on it.
-CACHE_WORDS = 350_000
+#: An encoder keeps the ids of this many words that were met lately, twice; what is returned doesn't depend on it.
+CACHE_WORDS = 200_000
+#: Texts of about so many bytes are encoded at once.
+GATHERED_BYTES = 6 << 20
 #: Marks that are a token group of their own behind an ASCII letter or digit.
 MARKS = b".,;:!?"
 _ALNUM = frozenset(b"abcdefghijklmnopqrstuvwxyz0123456789")
@@ -33,7 +35,6 @@ _ALNUM = frozenset(b"abcdefghijklmnopqrstuvwxyz0123456789")
 PLAIN_LETTERS = "\u0130"
 #: Bytes that aren't printable in Latin-1 stand for letters from U+0100 on in byte-level vocabularies.
 BYTE_LETTERS = {b: chr(256 + k) for k, b in enumerate([*range(33), *range(127, 161), 173])}
-_encoders: dict[str, "WordEncoder"] = {}
 
 
 def _pack(tokens: list) -> bytes:
@@ -70,10 +71,6 @@ class WordEncoder:
         self.recent: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
 
-    @classmethod
-    def of(cls, path: str) -> WordEncoder:
-        return _encoders.get(path) or _encoders.setdefault(path, cls(path))
-
     def _bases(self, bases: set[bytes]) -> dict[bytes, bytes]:
         if len(self.recent) > CACHE_WORDS:
             self.older, self.recent = self.recent, {}
@@ -136,21 +133,38 @@ class WordEncoder:
         return data, np.diff(offsets)
 
 
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, pa.Array]]:
+    """The ids and texts of some batches at a time: the more texts at once, the fewer words are looked at again."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.nbytes for b in held) >= GATHERED_BYTES:
+            yield _columns(held)
+            held = []
+    if held:
+        yield _columns(held)
+
+
+def _columns(held: list[pa.RecordBatch]) -> tuple[pa.Array, pa.Array]:
+    table = pa.Table.from_batches(held).combine_chunks()
+    return tuple(pa.concat_arrays(table[c].chunks) if table.num_rows else held[0].column(c) for c in ("doc_id", "text"))
+
+
 def tokenized(docs: DataFrame, vocabulary: str, end_id: int = 2) -> DataFrame:
     """doc_id, part, place (offset in the partition), n and ids (little-endian 32-bit), written to the shared folder."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder.of(vocabulary)
+        encoder = WordEncoder(vocabulary)
         part, place = TaskContext.get().partitionId(), 0
-        for batch in batches:
-            ids, n = encoder.encode(batch.column("text"), end_id)
+        for doc_ids, column in _gathered(batches):
+            ids, n = encoder.encode(column, end_id)
             places = place + np.cumsum(n) - n
             place += int(n.sum())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.full(len(n), part, np.int32)), pa.array(places), pa.array(n), ids.cast(pa.binary())], ["doc_id", "part", "place", "n", "ids"])
+            yield pa.RecordBatch.from_arrays([doc_ids, pa.array(np.full(len(n), part, np.int32)), pa.array(places), pa.array(n), ids.cast(pa.binary())], ["doc_id", "part", "place", "n", "ids"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    return written(rows.mapInArrow(run, f"doc_id {kind}, part int, place long, n long, ids binary"), "packing-tokens")
+    return written(rows.mapInArrow(frugal(run), f"doc_id {kind}, part int, place long, n long, ids binary"), "packing-tokens")
 
 
 def pack(docs: DataFrame, vocabulary: str | None = None, window: int = 4096, end_id: int = 2) -> DataFrame:
