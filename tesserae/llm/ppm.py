@@ -7,12 +7,14 @@ where symbols that the longer one has seen are excluded, down to a uniform choic
 counts fixed, what a step costs depends on the context and the symbol alone, so the trie is unfolded into sorted tables
 of costs per context length; a text's bytes are looked up in the longest one, and those not found go on to the next.
 
-Counts leave a partition as packed arrays per bucket of strings and are merged in rounds of bounded width. The trie has
-at most MAX_STRINGS strings of its greatest length; if there are more, that length is one less (and so on: of two bytes
-there are 65,536), so what is broadcast is bounded for any corpus.
+Texts are written in blocks of about BLOCK_BYTES. A block's distinct strings leave it as packed arrays per bucket, with
+their counts in its training texts; a bucket has all strings whose contexts end in the same two bytes, so that what any of
+them costs depends on its own bucket and on the counts of pairs of bytes, of which there are 65,536. Counts are merged in
+rounds of bounded width. The blocks' strings then stream past their bucket's tables, and the costs meet the block's texts
+again. Contexts have five bytes whatever the size of the corpus, and only the counts of pairs are broadcast.
 
-Word counts are exact over all training texts. Texts are written in blocks of about BLOCK_BYTES; a block asks for the
-counts of its distinct words, the answers are joined by word (a 64-bit hash) and meet the block's texts again.
+Word counts are exact over all training texts: a block asks for the counts of its distinct words too, joined by word (a
+64-bit hash).
 
 Defined cases: a null or empty text is its end alone; without training texts every byte costs log10(1/256) and N, V
 and all counts are zero; repeated rows and ids each get a row and count as often as they occur.
@@ -23,6 +25,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -34,9 +37,9 @@ from pyspark.sql import functions as F
 from .common import crc_mod, discard, frugal, release, session, texts, written
 from .simhash import LOWER
 
-ORDER, MAX_STRINGS, BLOCK_BYTES = 5, 4_000_000, 16_000_000
+ORDER, BLOCK_BYTES = 5, 16_000_000
 FRAME, END = b"\0" * ORDER, b"\0"
-BUCKETS, WIDTH = 64, 64
+BUCKETS, WIDTH = 256, 64
 
 
 def _framed(docs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -91,12 +94,14 @@ def _unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _bucketed(keys: np.ndarray, n: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
-    """(bucket, number of strings, packed) of the strings, dealt by a hash."""
-    bucket = (keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(58)
-    for b in range(BUCKETS):
-        at = bucket == b
-        if at.any():
-            yield b, int(at.sum()), _packed(keys[at], n[at])
+    """(bucket, number of strings, packed) of the sorted strings, dealt by a hash of the context's last two bytes."""
+    pair = (keys >> np.uint64(8)) & np.uint64(0xFFFF)
+    bucket = ((pair * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(56)).astype(np.uint8)
+    order = np.argsort(bucket, kind="stable")
+    keys, n, ends = keys[order], n[order], np.cumsum(np.bincount(bucket, minlength=BUCKETS))
+    for b, (start, end) in enumerate(zip([0, *ends.tolist()], ends.tolist())):
+        if end > start:
+            yield b, end - start, _packed(keys[start:end], n[start:end])
 
 
 @dataclass
@@ -126,17 +131,19 @@ class Trie:
     levels: list[Level]  # by the length of contexts
 
     @classmethod
-    def of(cls, keys: np.ndarray, n: np.ndarray, order: int = ORDER) -> Trie:
-        """From the counts of strings of order + 1 bytes."""
-        if not len(keys):
+    def of(cls, keys: np.ndarray, n: np.ndarray, pairs: tuple[np.ndarray, np.ndarray], order: int = ORDER) -> Trie:
+        """From the counts of a bucket's strings of order + 1 bytes, and those of all strings of two bytes."""
+        if not len(pairs[0]):
             return cls([])
-        keys, n = _summed(keys.astype(np.uint64), n.astype(np.int64))
+        keys, n = _summed(keys.astype(np.uint64), n.astype(np.int64)) if order > 1 else pairs
         levels: list[Level] = []
         counts = [(keys, n)]
         for k in range(order, 0, -1):
-            counts.append(_summed(counts[-1][0] & np.uint64((1 << 8 * k) - 1), counts[-1][1]))
+            counts.append(pairs if k == 2 else _summed(counts[-1][0] & np.uint64((1 << 8 * k) - 1), counts[-1][1]))
         shorter: tuple[np.ndarray, ...] = ()
         for length, (keys, n) in enumerate(reversed(counts)):
+            if not len(keys):  # nothing of the bucket is known: all its strings start from shorter contexts
+                break
             context = keys >> np.uint64(8)
             first = np.flatnonzero(np.concatenate(([True], context[1:] != context[:-1])))
             distinct = np.diff(np.append(first, len(keys)))
@@ -158,39 +165,17 @@ class Trie:
             shorter = keys, n, context, total, distinct
         return cls(levels)
 
-    def scores(self, docs: list[bytes]) -> list[float]:
-        """The log10 probability of each text and its end."""
-        out: list[float] = []
-        group: list[bytes] = []
-        size = 0
-        for d in docs:
-            group.append(d)
-            size += len(d)
-            if size >= 1 << 20:
-                out += self._scores(group)
-                group, size = [], 0
-        return out + self._scores(group)
-
-    def _scores(self, docs: list[bytes]) -> list[float]:
-        if not docs:
-            return []
-        buffer, starts = _framed(docs)
-        order = len(self.levels) - 1
-        first = starts - ORDER
-        if order < 0:
-            cost = np.full(len(buffer) - ORDER, np.log10(256.0))
-        else:
-            keys = _keys(buffer[ORDER - order :], order + 1)
-            by_key = np.argsort(keys)
-            cost = np.empty(len(keys))
-            cost[by_key] = self._costs(keys[by_key])
-        # What stands between two texts is the next one's frame.
-        for k in range(1, ORDER + 1):
-            cost[(first - k)[1:]] = 0
-        return (-np.add.reduceat(cost, first, dtype=np.float64)).tolist()
+    def costs(self, keys: np.ndarray) -> np.ndarray:
+        """The code length of each string's last byte in the context of the others; keys are sorted strings of ORDER + 1 bytes."""
+        if not self.levels:
+            return np.full(len(keys), np.log10(256.0))
+        keys = keys & np.uint64((1 << 8 * len(self.levels)) - 1)
+        by_key = np.argsort(keys, kind="stable")
+        cost = np.empty(len(keys))
+        cost[by_key] = self._costs(keys[by_key])
+        return cost
 
     def _costs(self, keys: np.ndarray) -> np.ndarray:
-        """The code length of each string's last byte in the context of the others; keys are sorted."""
         top = self.levels[-1]
         at, found = top.find(keys)
         cost = top.direct[at].astype(np.float64)
@@ -217,6 +202,35 @@ class Trie:
         return cost
 
 
+def scores(docs: list[bytes], strings: np.ndarray, costs: np.ndarray) -> list[float]:
+    """The log10 probability of each text and its end, from the costs of all their strings (sorted)."""
+    out: list[float] = []
+    group: list[bytes] = []
+    size = 0
+    for d in docs:
+        group.append(d)
+        size += len(d)
+        if size >= 1 << 20:
+            out += _scores(group, strings, costs)
+            group, size = [], 0
+    return out + _scores(group, strings, costs)
+
+
+def _scores(docs: list[bytes], strings: np.ndarray, costs: np.ndarray) -> list[float]:
+    if not docs:
+        return []
+    buffer, starts = _framed(docs)
+    first = starts - ORDER
+    keys = _keys(buffer, ORDER + 1)
+    by_key = np.argsort(keys)
+    cost = np.empty(len(keys))
+    cost[by_key] = costs[_find(strings, keys[by_key])[0]]
+    # What stands between two texts is the next one's frame.
+    for k in range(1, ORDER + 1):
+        cost[(first - k)[1:]] = 0
+    return (-np.add.reduceat(cost, first, dtype=np.float64)).tolist()
+
+
 def _blocks(docs: DataFrame) -> DataFrame:
     """docs as doc_id, text, trained and block: about BLOCK_BYTES of neighbouring texts, written to the shared folder."""
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -238,7 +252,7 @@ COUNTS = "kind int, block long, key long, n long, data binary"
 
 
 def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(kind, block, key, n, data): n of a block's words in training texts, the partition's strings by bucket, and the number of these texts."""
+    """(kind, block, key, n, data): n of a block's words in training texts, its strings by bucket, and the number of training texts."""
     import xxhash
 
     part = TaskContext.get().partitionId()
@@ -250,7 +264,9 @@ def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             blob = pa.nulls(size, pa.binary()) if data is None else pa.array(data[cut], pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(np.full(size, kind, np.int32)), pa.array(np.full(size, block, np.int64)), pa.array(key[cut]), pa.array(n[cut]), blob], ["kind", "block", "key", "n", "data"])
 
-    def of_block(block: int, words: Counter[bytes]) -> Iterator[pa.RecordBatch]:
+    def of_block(block: int, words: Counter[bytes], strings: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        packs = [*_bucketed(strings, counts)]
+        yield from rows(STRINGS, block, np.array([b for b, _, _ in packs], np.int64), np.array([n for _, n, _ in packs], np.int64), [d for _, _, d in packs])
         key = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words), np.uint64, len(words)).view(np.int64)
         yield from rows(WORD, block, key, np.fromiter(words.values(), np.int64, len(words)))
 
@@ -259,21 +275,22 @@ def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         docs = texts(batch)
         trained, blocks = batch.column("trained").to_pylist(), batch.column("block").to_pylist()
-        learned = [d for d, t in zip(docs, trained) if t]
-        trained_texts += len(learned)
-        more, n = string_counts(learned)
-        strings, counts = _summed(np.concatenate((strings, more)), np.concatenate((counts, n)))
-        for d, t, b in zip(docs, trained, blocks):
+        trained_texts += sum(trained)
+        for b, group in groupby(zip(docs, trained, blocks), lambda x: x[2]):
             if b != now:
-                if words:
-                    yield from of_block(now, words)
+                if now is not None:
+                    yield from of_block(now, words, strings, counts)
                 words, now = Counter(), b
-            found = d.translate(LOWER).split()
-            words.update(found if t else dict.fromkeys(found, 0))
-    if words:
-        yield from of_block(now, words)
-    for bucket, size, data in _bucketed(strings, counts):
-        yield from rows(STRINGS, part, np.array([bucket]), np.array([size]), [data])
+                strings, counts = np.empty(0, np.uint64), np.empty(0, np.int64)
+            sides: tuple[list[bytes], list[bytes]] = [], []
+            for d, t, _ in group:
+                sides[t].append(d)
+                found = d.translate(LOWER).split()
+                words.update(found if t else dict.fromkeys(found, 0))
+            (asked, zero), (more, n) = map(string_counts, sides)
+            strings, counts = _summed(np.concatenate((strings, asked, more)), np.concatenate((counts, zero * 0, n)))
+    if now is not None:
+        yield from of_block(now, words, strings, counts)
     yield from rows(TEXTS, part, np.zeros(1, np.int64), np.array([trained_texts], np.int64))
 
 
@@ -289,6 +306,7 @@ def _merge(table: pa.Table) -> pa.Table:
         if len(keys) > 4_000_000:
             keys, n = _summed(keys, n)
     keys, n = _summed(keys, n)
+    keys, n = keys[n > 0], n[n > 0]
     return pa.table({"key": table["key"][:1].combine_chunks(), "block": table["group"][:1].combine_chunks(), "n": [len(keys)], "data": [_packed(keys, n)]}, schema=pa.schema([("key", pa.int64()), ("block", pa.int64()), ("n", pa.int64()), ("data", pa.binary())]))
 
 
@@ -297,41 +315,71 @@ def _merged(packs: DataFrame) -> DataFrame:
     groups = packs.select("block").distinct().count()
     while True:
         groups = max(1, -(-groups // WIDTH))
-        packs = written(packs.withColumn("group", F.pmod(F.col("block"), F.lit(groups))).groupBy("key", "group").applyInArrow(_merge, PACKS), "ppm-strings")
+        packs = written(packs.withColumn("group", F.pmod(F.xxhash64("block"), F.lit(groups))).groupBy("key", "group").applyInArrow(_merge, PACKS), "ppm-strings")
         if groups == 1:
             return packs
 
 
-def _shortened(mask: int):
+def _short(order: int):
+    """(key, n) of a bucket's strings, cut to their last order + 1 bytes."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for source, data in zip(batch.column("key").to_pylist(), batch.column("data").to_pylist()):
+            for data in batch.column("data").to_pylist():
                 keys, n = _unpacked(data)
-                rows = [(b, source, size, d) for b, size, d in _bucketed(*_summed(keys & np.uint64(mask), n))]
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.binary()))], ["key", "block", "n", "data"])
+                keys, n = _summed(keys & np.uint64((1 << 8 * (order + 1)) - 1), n)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], ["key", "n"])
 
     return run
 
 
-def _trie(packs: DataFrame, max_strings: int) -> Trie:
-    """The trie from packs of strings; they come to the driver once their number is known to be within the bound."""
-    order, packs = ORDER, _merged(packs)
-    while order > 1 and (packs.agg(F.sum("n")).first()[0] or 0) > max_strings:
-        packs = _merged(packs.mapInArrow(_shortened((1 << 8 * order) - 1), PACKS))
+def _order(packs: DataFrame, max_strings: int) -> int:
+    """The greatest order of which there are at most max_strings strings, or 1."""
+    order = ORDER
+    while order > 1 and packs.mapInArrow(frugal(_short(order)), "key long, n long").count() > max_strings:
         order -= 1
-    found = [_unpacked(bytes(r.data)) for r in packs.select("data").toLocalIterator()]
-    if not found:
-        return Trie([])
-    return Trie.of(np.concatenate([k for k, _ in found]), np.concatenate([n for _, n in found]), order)
+    return order
 
 
-def scored(docs: DataFrame, trained: Column, max_strings: int = MAX_STRINGS) -> DataFrame:
-    """doc_id, n_tokens, n_known, train_tokens, base_score and score; trained: the condition of training texts."""
+def _costs(packs: DataFrame, asked: DataFrame, order: int | None) -> DataFrame:
+    """(block, key, c, data): the packed costs of the strings that blocks ask for; packs and asked have key, block, n and data."""
+    found = packs.mapInArrow(frugal(_short(1)), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).orderBy("key").toPandas()
+    shared = packs.sparkSession.sparkContext.broadcast((found["key"].to_numpy(np.uint64), found["n"].to_numpy(np.int64)))
+    longest = order or ORDER
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, trie = None, None
+        for batch in batches:
+            for b, block, data, model in zip(*(batch.column(c).to_pylist() for c in ("key", "block", "data", "model"))):
+                keys, n = _unpacked(data)
+                if b != bucket:
+                    known = (keys, n) if model else (keys[:0], n[:0])
+                    cut = known[0] & np.uint64((1 << 8 * (longest + 1)) - 1)
+                    bucket, trie = b, Trie.of(cut, known[1], shared.value, longest)
+                if not model:
+                    data = _packed(keys, trie.costs(keys).astype(np.float32).view(np.uint32))
+                    yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([b]), pa.array([len(keys)]), pa.array([data], pa.binary())], ["block", "key", "c", "data"])
+
+    columns = "key", "block", "data"
+    both = packs.select(*columns, F.lit(True).alias("model")).union(asked.select(*columns, F.lit(False).alias("model")))
+    # The model's pack comes first, then a bucket's questions stream past it.
+    return both.repartition("key").sortWithinPartitions("key", F.desc("model")).mapInArrow(frugal(run), "block long, key long, c long, data binary")
+
+
+def scored(docs: DataFrame, trained: Column, max_strings: int | None = None) -> DataFrame:
+    """doc_id, n_tokens, n_known, train_tokens, base_score and score; trained: the condition of training texts.
+
+    Contexts have ORDER bytes; only a caller who gives max_strings asks for the longest ones of which there are no more.
+    """
     spark = session(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     blocks = _blocks(docs.withColumn("trained", F.coalesce(trained, F.lit(False))))
     found = written(blocks.select("text", "trained", "block").mapInArrow(frugal(_statistics), COUNTS), "ppm-counts")
-    trie = _trie(found.where(F.col("kind") == STRINGS).select("key", "block", "n", "data"), max_strings)
+    strings = found.where(F.col("kind") == STRINGS).select("key", "block", "n", "data")
+    packs = _merged(strings)
+    costs = written(_costs(packs, strings, None if max_strings is None else _order(packs, max_strings)), "ppm-costs")
+    discard(packs)
+    release(spark)
     n_texts = int(found.where(F.col("kind") == TEXTS).agg(F.sum("n")).first()[0] or 0)
     asked = found.where(F.col("kind") == WORD).select("block", "key", "n")
     words = written(asked.groupBy("key").agg(F.sum("n").alias("c")).where("c > 0"), "ppm-words")
@@ -339,15 +387,21 @@ def scored(docs: DataFrame, trained: Column, max_strings: int = MAX_STRINGS) ->
     n_words, distinct = words.agg(F.sum("c"), F.count("*")).first()
     total, distinct = int(n_words or 0) + n_texts, distinct + (n_texts > 0)
     answers = written(asked.select("block", "key").join(words, "key").select("block", "key", "c"), "ppm-answers")
+    answers = answers.withColumn("data", F.lit(None).cast("binary")).union(costs)
     discard(found)
     release(spark)
-    shared = spark.sparkContext.broadcast(trie)
     logs = np.log10(total + distinct + 1)
 
     def score(block: pa.Table, counts: pa.Table) -> pa.Table:
         import xxhash
 
-        by_hash = dict(zip(counts["key"].to_numpy().view(np.uint64).tolist(), counts["c"].to_numpy().tolist()))
+        is_word = pc.is_null(counts["data"])
+        of_words, packed = counts.filter(is_word), counts.filter(pc.invert(is_word))["data"].to_pylist()
+        by_hash = dict(zip(of_words["key"].to_numpy().view(np.uint64).tolist(), of_words["c"].to_numpy().tolist()))
+        both = [_unpacked(data) for data in packed]
+        # A block that two tasks have read has asked twice.
+        strings, at = np.unique(np.concatenate([k for k, _ in both]), return_index=True) if both else (np.empty(0, np.uint64), np.empty(0, np.int64))
+        costs = np.concatenate([c for _, c in both]).astype(np.uint32).view(np.float32)[at] if both else np.empty(0, np.float32)
         known: dict[bytes, int] = {}
         out: list[pa.Table] = []
         for batch in block.to_batches(max_chunksize=500):
@@ -362,7 +416,7 @@ def scored(docs: DataFrame, trained: Column, max_strings: int = MAX_STRINGS) ->
                 n_tokens.append(len(c))
                 n_known.append(int((c > 0).sum()))
                 base.append(float(np.log10(c + 1.0).sum() - len(c) * logs))
-            values = [n_tokens, n_known, [total] * len(docs), base, shared.value.scores(docs)]
+            values = [n_tokens, n_known, [total] * len(docs), base, scores(docs, strings, costs)]
             kinds = [pa.int64()] * 3 + [pa.float64()] * 2
             out.append(pa.Table.from_arrays([batch.column("doc_id"), batch.column("trained"), *(pa.array(v, k) for v, k in zip(values, kinds))], NAMES))
         return pa.concat_tables(out) if out else pa.Table.from_batches([], pa.schema([("doc_id", block.schema.field("doc_id").type), ("trained", pa.bool_()), *zip(NAMES[2:], [pa.int64()] * 3 + [pa.float64()] * 2)]))

@@ -246,6 +246,27 @@ def test_ppm_equals_brute_force(corpus, order):
         assert a[:5] == b[:5] and a[5] == pytest.approx(b[5], rel=1e-9) and a[6] == pytest.approx(b[6], rel=1e-5)
 
 
+def test_ppm_keeps_its_order_at_every_size():
+    from inspect import signature
+
+    assert signature(ppm.scored).parameters["max_strings"].default is None
+    rng = np.random.default_rng(8)
+    docs = [bytes(rng.integers(97, 100, 300, np.uint8)) for _ in range(20)]
+    keys, n = ppm.string_counts(docs[:15])
+    pairs = ppm._summed(keys & np.uint64(0xFFFF), n)
+    known = {b: ppm._unpacked(data) for b, _, data in ppm._bucketed(keys, n)}
+    asked, zero = ppm.string_counts(docs)
+    found = []
+    for b, _, data in ppm._bucketed(asked, zero):  # each bucket by itself
+        strings = ppm._unpacked(data)[0]
+        trie = ppm.Trie.of(*known.get(b, (keys[:0], n[:0])), pairs)
+        assert b not in known or len(trie.levels) == ppm.ORDER + 1
+        found += zip(strings.tolist(), trie.costs(strings).tolist())
+    strings, costs = map(np.array, zip(*sorted(found)))
+    for d, s in zip(docs, ppm.scores(docs, strings.astype(np.uint64), costs)):
+        assert s == pytest.approx(brute_ppm(docs[:15], d, ppm.ORDER), rel=1e-6)
+
+
 def test_ppm_without_training_or_rows(spark, nothing):
     from pyspark.sql import functions as F
 
