@@ -4,7 +4,7 @@ A list is dated entries: on `effective_at`, `action` ('add' or 'remove') of a ru
 
 - domain: the host or any host below it;
 - host: that host only;
-- prefix: host and path, up to a `/` or the end;
+- prefix: host and path, up to a `/` or the end; a last `/` of a longer path than `/` doesn't matter, and `host/` is the root page only;
 - url: host, path and query.
 
 Entries become validity intervals: an addition holds until the next removal of its rule. A capture is evaluated as of
@@ -47,7 +47,8 @@ def intervals(entries: DataFrame) -> DataFrame:
     e = entries.select("kind", F.lower(F.substring_index("key", "/", 1)).alias("host"), "key", "verdict", "action", F.col("effective_at").cast("timestamp_ntz").alias("at"))
     e = e.where(F.col("kind").isin(*RANK) & F.col("action").isin("add", "remove") & F.col("verdict").isin("block", "allow") & F.col("key").isNotNull() & F.col("at").isNotNull())
     host = F.regexp_replace(F.regexp_replace("host", r"\.$", ""), r"^www\.", "")
-    e = e.withColumn("key", F.concat(host, F.substr("key", F.char_length("host") + 1)))
+    rest = F.substr("key", F.char_length("host") + 1)
+    e = e.withColumn("key", F.concat(host, F.when(F.col("kind") == "prefix", F.regexp_replace(rest, "(?<=[^/])/$", "")).otherwise(rest)))
     e = e.groupBy(*rule, "at").agg(F.max((F.col("action") == "add").cast("int")).alias("on"))
     by_time = Window.partitionBy(*rule).orderBy("at")
     changes = e.withColumn("before", F.coalesce(F.lag("on").over(by_time), F.lit(0))).where("on <> before")

@@ -423,3 +423,11 @@ def test_pipeline(spark, sf_dir):
     empty = spark.createDataFrame([], COLUMNS)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, sf_dir).collect() == []
+
+
+def test_url_filter_takes_directory_prefixes(spark):
+    rules = [("prefix", k, "block", "add", "2024-01-01") for k in ("a.com/ads/", "b.com/x/y/", "c.com/")]
+    listed = spark.createDataFrame(rules, "kind string, key string, verdict string, action string, effective_at string")
+    urls = ["http://a.com/ads/1", "http://a.com/ads", "http://a.com/adsense", "http://b.com/x/y/z?q", "http://b.com/x", "http://c.com/"]
+    captures = spark.createDataFrame([(u, "2024-02-01") for u in urls], "url string, fetched_at string")
+    assert [(r.url, r.url_verdict) for r in url_filter.evaluate(captures, listed).orderBy("url").collect()] == [(u, "allow" if u in ("http://a.com/adsense", "http://b.com/x") else "block") for u in sorted(urls)]
