@@ -20,33 +20,47 @@ BATCH_BYTES = 4 << 20
 
 
 def session(spark: SparkSession) -> SparkSession:
-    """Bound the Arrow batches by size, as documents may be long; a smaller bound that is already set stays."""
+    """Bound the session's Arrow batches by size, as documents may be long, unless the session has a bound of its own.
+
+    The setting has to hold when a caller runs what an operator returns, so it stays.
+    """
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if int(spark.conf.get(key, str(2**31 - 1))) > BATCH_BYTES:
+    if spark.conf.get(key, None) is None:
         spark.conf.set(key, str(BATCH_BYTES))
     return spark
 
 
+@contextlib.contextmanager
+def tidy(spark: SparkSession) -> Iterator[None]:
+    """Queries that run in this block delete their shuffle files when they end."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Write df to a table in the shared folder and read it back: lineage is cut, and a lost executor loses nothing."""
+    """Write df to a table in the shared folder and read it back: lineage is cut, and a lost executor loses nothing.
+
+    The shuffle files of the write go with its end.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    with tidy(spark):
+        df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def discard(df: DataFrame) -> None:
-    """Delete a table that `written` made and nothing needs any more."""
-    spark = df.sparkSession
-    if files := df.inputFiles():
-        path = spark._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def release(spark: SparkSession) -> None:
-    """Shuffle files that nothing refers to any more go once both collectors of the driver have run."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that `written` made and nothing needs any more."""
+    for df in tables:
+        spark = df.sparkSession
+        if files := df.inputFiles():
+            path = spark._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def frugal(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
@@ -91,8 +105,10 @@ def components(edges: DataFrame, name: str) -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         small = small.union(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
-        edges = written(small, name)
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
+        before, edges = edges, written(small, name)
+        discard(before)
+        with tidy(edges.sparkSession):
+            now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
         if now == state:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
         state = now

@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, discard, frugal, release, session, texts, written
+from .common import crc_mod, discard, frugal, session, texts, tidy, written
 from .simhash import LOWER
 
 ORDER, BLOCK_BYTES = 5, 16_000_000
@@ -312,10 +312,15 @@ def _merge(table: pa.Table) -> pa.Table:
 
 def _merged(packs: DataFrame) -> DataFrame:
     """One pack per bucket: rounds that merge at most WIDTH packs at once."""
-    groups = packs.select("block").distinct().count()
+    with tidy(packs.sparkSession):
+        groups = packs.select("block").distinct().count()
+    made = None
     while True:
         groups = max(1, -(-groups // WIDTH))
         packs = written(packs.withColumn("group", F.pmod(F.xxhash64("block"), F.lit(groups))).groupBy("key", "group").applyInArrow(_merge, PACKS), "ppm-strings")
+        if made is not None:
+            discard(made)
+        made = packs
         if groups == 1:
             return packs
 
@@ -343,7 +348,8 @@ def _order(packs: DataFrame, max_strings: int) -> int:
 
 def _costs(packs: DataFrame, asked: DataFrame, order: int | None) -> DataFrame:
     """(block, key, c, data): the packed costs of the strings that blocks ask for; packs and asked have key, block, n and data."""
-    found = packs.mapInArrow(frugal(_short(1)), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).orderBy("key").toPandas()
+    with tidy(packs.sparkSession):
+        found = packs.mapInArrow(frugal(_short(1)), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).orderBy("key").toPandas()
     shared = packs.sparkSession.sparkContext.broadcast((found["key"].to_numpy(np.uint64), found["n"].to_numpy(np.int64)))
     longest = order or ORDER
 
@@ -379,17 +385,17 @@ def scored(docs: DataFrame, trained: Column, max_strings: int | None = None) ->
     packs = _merged(strings)
     costs = written(_costs(packs, strings, None if max_strings is None else _order(packs, max_strings)), "ppm-costs")
     discard(packs)
-    release(spark)
-    n_texts = int(found.where(F.col("kind") == TEXTS).agg(F.sum("n")).first()[0] or 0)
-    asked = found.where(F.col("kind") == WORD).select("block", "key", "n")
+    asked = written(found.where(F.col("kind") == WORD).select("block", "key", "n"), "ppm-asked")
+    with tidy(spark):
+        n_texts = int(found.where(F.col("kind") == TEXTS).agg(F.sum("n")).first()[0] or 0)
+    discard(found)
     words = written(asked.groupBy("key").agg(F.sum("n").alias("c")).where("c > 0"), "ppm-words")
-    release(spark)
-    n_words, distinct = words.agg(F.sum("c"), F.count("*")).first()
+    with tidy(spark):
+        n_words, distinct = words.agg(F.sum("c"), F.count("*")).first()
     total, distinct = int(n_words or 0) + n_texts, distinct + (n_texts > 0)
     answers = written(asked.select("block", "key").join(words, "key").select("block", "key", "c"), "ppm-answers")
+    discard(asked, words)
     answers = answers.withColumn("data", F.lit(None).cast("binary")).union(costs)
-    discard(found)
-    release(spark)
     logs = np.log10(total + distinct + 1)
 
     def score(block: pa.Table, counts: pa.Table) -> pa.Table:

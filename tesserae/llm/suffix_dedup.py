@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import frugal, release, session, texts, written
+from .common import discard, frugal, session, texts, tidy, written
 
 K = 128
 PIECE = 1 << 16
@@ -262,10 +262,11 @@ def _indexed(length: int):
     return run
 
 
-def _halved(hot: DataFrame, length: int, k: int) -> DataFrame:
+def _halved(hot: DataFrame, length: int, k: int, tables: list[DataFrame]) -> DataFrame:
     """(h, ctx, a, b) for the contexts (h, ctx, at, bytes) of hot anchors, by halving the ranges of the anchor's offset.
 
     A string that starts `o` bytes before the anchor has the offset o. A context has the offsets at - starts + 1 to at.
+    The written tables that the result reads are added to `tables`.
     """
     top = length - k
     level = TOP_LEVEL
@@ -286,6 +287,7 @@ def _halved(hot: DataFrame, length: int, k: int) -> DataFrame:
         least, most = F.greatest(F.col("low"), F.col("at") - n_starts + 1), F.least(F.col("high"), F.col("at"))
         rows = rows.withColumns({"least": least, "most": most})
         rows = written(rows.withColumn("whole", F.xxhash64("least", "most", piece(F.col("most"), top - F.col("least")))), "suffix-halves")
+        tables.append(rows)
         alike = rows.groupBy("h", "node", "whole").agg(F.count("*").alias("alike"), F.min("ctx").alias("stays")).where("alike > 1")
         rows = rows.join(alike, ["h", "node", "whole"], "left")
         marks.append(rows.where("alike is not null and not done").select("h", "ctx", (F.col("at") - F.col("most")).cast("long").alias("a"), (F.col("at") - F.col("least") + 1).cast("long").alias("b")))
@@ -309,27 +311,32 @@ def repeats(docs: DataFrame, length: int = 400, k: int = K, hot_contexts: int =
     anchors = written(source.mapInArrow(frugal(_anchors(length, k)), "d binary, h long, ctx long, at int, lo long, hi long"), "suffix-anchors")
     often = anchors.groupBy("h").agg(F.count("*").alias("n"), (F.min("ctx") != F.max("ctx")).alias("varied")).where("n > 1").drop("n")
     # Read back, both sides of the join are plain, and Spark can split the partitions of anchors that are very common.
-    shared = written(anchors.join(written(often, "suffix-often"), "h"), "suffix-shared")
-    release(spark)
+    often = written(often, "suffix-often")
+    shared = written(anchors.join(often, "h"), "suffix-shared")
+    discard(anchors, often)
     kinds = shared.groupBy("h", "ctx").agg(F.count("*").alias("n"), F.first("varied").alias("varied"), F.min(F.struct("d", "lo", "hi", "at")).alias("one"))
     kinds = written(kinds, "suffix-contexts")
     wanted = kinds.where("varied").groupBy(F.col("one.d").alias("d")).agg(F.collect_list(F.struct("h", "ctx", "n", "one.at", "one.lo", "one.hi")).alias("wanted"))
     once = source.where(F.octet_length("text") >= length).withColumnRenamed("__digest", "d").dropDuplicates(["d"])
     bodies = once.join(wanted, "d").select("text", "wanted").mapInArrow(_extract(length), "h long, ctx long, n long, at long, bytes binary")
     bodies = written(bodies, "suffix-bodies")
-    release(spark)
-    sizes = bodies.groupBy("h").count().where(F.col("count") > hot_contexts).select("h")
+    sizes = written(bodies.groupBy("h").count().where(F.col("count") > hot_contexts).select("h"), "suffix-sizes")
     cool = bodies.join(sizes, "h", "left_anti").repartition("h").sortWithinPartitions("h")
     hot = written(bodies.join(sizes, "h", "left_semi"), "suffix-hot")
     marks = cool.mapInArrow(frugal(_indexed(length)), "h long, ctx long, a long, b long")
-    if not hot.isEmpty():
-        marks = marks.union(_halved(hot, length, k))
+    halves: list[DataFrame] = []
+    with tidy(spark):
+        some = not hot.isEmpty()
+    if some:
+        marks = marks.union(_halved(hot, length, k, halves))
     whole = kinds.where("n > 1").select("h", "ctx", F.lit(0).cast("long").alias("a"), F.lit(1 << 40).alias("b"))
     marks = written(whole.union(marks.join(kinds.where("n > 1").select("h", "ctx"), ["h", "ctx"], "left_anti")), "suffix-marks")
-    release(spark)
+    discard(bodies, sizes, hot, kinds, *halves)
     found = shared.select("d", "h", "ctx", "lo", "hi").distinct().join(marks, ["h", "ctx"])
     span = F.struct((F.col("lo") + F.col("a")).alias("a"), F.least(F.col("lo") + F.col("b"), F.col("hi") + 1).alias("b"))
-    return found.groupBy("d").agg(F.collect_list(span).alias("ranges"))
+    ranges = written(found.groupBy("d").agg(F.collect_list(span).alias("ranges")), "suffix-ranges")
+    discard(shared, marks)
+    return ranges
 
 
 def removed_spans(ranges: list[dict], length: int) -> list[tuple[int, int]]:
