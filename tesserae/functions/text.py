@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import cache
 
@@ -45,19 +46,31 @@ def folded(text: str) -> str:
 
 
 def fold(c: Column) -> Column:
-    return F.translate(c, *fold_table())
+    # A text of ASCII alone is folded by lowering it, which is far cheaper.
+    return F.when(F.octet_length(c) == F.char_length(c), F.lower(c)).otherwise(F.translate(c, *fold_table()))
+
+
+def _once(c: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once, however often f names it."""
+    return F.element_at(F.transform(F.array(c), f), 1)
 
 
 def terms(c: Column) -> Column:
     """All terms of a text: folded words, and the pairs of runs without spaces with each run's last character."""
-    low = fold(c)
-    words = F.transform(F.regexp_extract_all(low, F.lit(WORD), F.lit(1)), lambda w: F.substring(w, 1, MAX_TERM))
-    pairs = F.transform(F.regexp_extract_all(low, F.lit(RUN), F.lit(1)), lambda r: F.transform(F.sequence(F.lit(1), F.char_length(r)), lambda k: F.substr(r, k, F.lit(2))))
-    return F.concat(words, F.flatten(pairs))
+
+    def of_folded(low: Column) -> Column:
+        words = F.transform(F.regexp_extract_all(low, F.lit(WORD), F.lit(1)), lambda w: F.substring(w, 1, MAX_TERM))
+        pairs = F.transform(F.regexp_extract_all(low, F.lit(RUN), F.lit(1)), lambda r: F.transform(F.sequence(F.lit(1), F.char_length(r)), lambda k: F.substr(r, k, F.lit(2))))
+        return F.concat(words, F.flatten(pairs))
+
+    return _once(fold(c), of_folded)
 
 
-def _starting(w: str):
-    return lambda x: x.startswith(w)
+def _pattern(word: str, whole: bool) -> str:
+    """A word in a folded text: behind it and, if whole, after it stands no other letter of a word."""
+    letters = WORD[1:-2]
+    behind = rf"(?<!{letters}\Q{word}\E)"
+    return rf"\Q{word}\E{behind}" + (rf"(?!{letters})" if whole else "")
 
 
 @dataclass(frozen=True)
@@ -82,21 +95,31 @@ class Words:
         return cls(frozenset(exact), frozenset(prefixes))
 
     def found_in(self, c: Column) -> Column:
-        """Whether a text has every word; null for a null text."""
-        wanted = sorted(self.exact | self.prefixes)
-        if not wanted:
+        """Whether a text has every word; null for a null text.
+
+        The text is folded once. Words are looked for as strings first, then with what stands around them; pairs of
+        characters without spaces are terms wherever they stand together.
+        """
+        if not self.exact and not self.prefixes:
             return F.lit(False)
 
-        def all_in(t: Column) -> Column:
-            out = F.lit(True)
+        def all_in(low: Column) -> Column:
+            wanted = sorted(self.exact | self.prefixes)
+            out = low.contains(wanted[0])
+            for w in wanted[1:]:
+                out = out & low.contains(w)
             for w in sorted(self.exact):
-                out = out & F.array_contains(t, w)
+                if not _paired(w):
+                    out = out & low.rlike(_pattern(w, len(w) < MAX_TERM))
             for w in sorted(self.prefixes):
-                out = out & F.exists(t, _starting(w))
+                if not _paired(w):
+                    out = out & low.rlike(_pattern(w, False))
             return out
 
-        # A text that doesn't hold the characters can't have the word; only others are cut into terms.
-        likely = F.lit(True)
-        for w in wanted:
-            likely = likely & fold(c).contains(w)
-        return likely & F.exists(F.array(terms(c)), all_in)
+        return F.exists(F.array(fold(c)), all_in)
+
+
+def _paired(word: str) -> bool:
+    import regex
+
+    return bool(regex.match(r"[\p{Han}\p{Hiragana}\p{Katakana}ーｰ]", word))
