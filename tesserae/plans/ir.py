@@ -137,7 +137,7 @@ def bind(e: Expr | None, values: list[object]) -> Expr | None:
         if not isinstance(v, Param):
             return v
         if v.number >= len(values):
-            raise invalid_query(f"`${v.number}` names a parameter, and {len(values)} were given")
+            raise invalid_query(f"no value for ${v.number}: got {len(values)}")
         return normal(values[v.number])
 
     match e:
@@ -169,7 +169,7 @@ def depth(e: Expr | None) -> int:
 
 def check_depth(e: Expr | None) -> None:
     if depth(e) > MAX_DEPTH:
-        raise invalid_query(f"the filter nests more than {MAX_DEPTH} levels deep")
+        raise invalid_query(f"query tree deeper than {MAX_DEPTH}")
 
 
 def to_dict(q: Query) -> dict:
@@ -200,7 +200,7 @@ def _load(x: list) -> Expr:
     code, *rest = x
     names = {v: k for k, v in CODES.items()}
     if code not in names:
-        raise invalid_query(f"{code} is no operation")
+        raise invalid_query(f"unknown operation code {code}")
     match names[code]:
         case "AND":
             return every(*map(_load, rest))

@@ -52,7 +52,7 @@ class Path:
 def resolve_path(schema: Schema, collection: Collection, names: tuple[str, ...]) -> Path:
     text = ".".join(names)
     if not 1 <= len(names) <= MAX_PATH:
-        raise invalid_query(f"`{text[:80]}` has {len(names)} names; a path has 1 to {MAX_PATH}")
+        raise invalid_query(f"path `{text[:80]}`: {len(names)} parts, allowed are 1 to {MAX_PATH}")
     segments: list[Segment] = []
     owner, fields, row, lists, here = collection, collection.all_fields, [], [], None
     for k, name in enumerate(names):
@@ -65,16 +65,16 @@ def resolve_path(schema: Schema, collection: Collection, names: tuple[str, ...])
             elif inner.kind == "object":
                 fields = inner.fields
             else:
-                raise invalid_query(f"`{text}` goes on past `{names[k - 1]}`, which holds {here}")
+                raise invalid_query(f"path `{text}`: `{names[k - 1]}` is of type {here} and has no parts")
         found = next((f for f in fields if f.name == name), None)
         if found is None:
-            raise invalid_query(f"`{text}` names `{name}`, which `{owner.name}` does not have")
+            raise invalid_query(f"path `{text}`: no field `{name}` in `{owner.name}`")
         here = found.type
         row.append(name)
         lists.append(here.kind == "list")
     leaf = here.item or here
     if leaf.kind == "object":
-        raise invalid_query(f"`{text}` ends at an embedded object; test one of its fields")
+        raise invalid_query(f"path `{text}`: an embedded object as a whole has no order and no equality")
     return Path(text, (*segments, Segment(owner, tuple(row), tuple(lists))), leaf, here.kind == "list")
 
 
@@ -82,49 +82,49 @@ def check_test(schema: Schema, path: Path, t: ir.Test) -> ir.Test:
     """The test with its values as the field's type has them; INVALID_QUERY where they don't fit."""
     for v in t.values:
         if isinstance(v, ir.Param):
-            raise invalid_query(f"`${v.number}` has no value")
+            raise invalid_query(f"unbound parameter ${v.number}")
     counts = {"IS NULL": 0, "BETWEEN": 2, "IN": len(t.values)}
     if len(t.values) != counts.get(t.op, 1):
-        raise invalid_query(f"`{t.op}` on `{path.text}` has {len(t.values)} values")
+        raise invalid_query(f"wrong number of operands for {t.op} on `{path.text}`: {len(t.values)}")
     if t.op == "MATCHES" and (path.leaf.kind != "string" or path.link):
-        raise invalid_query(f"`MATCHES` searches strings for words, and `{path.text}` holds {path.leaf}")
+        raise invalid_query(f"MATCHES needs text, `{path.text}` is of type {path.leaf}")
     if t.fold and (path.leaf.kind != "string" or path.link):
-        raise invalid_query(f"`IGNORE CASE` compares strings, and `{path.text}` holds {path.leaf}")
+        raise invalid_query(f"IGNORE CASE needs text, `{path.text}` is of type {path.leaf}")
     if t.fold and t.op not in ir.FOLDING:
-        raise invalid_query(f"`{t.op}` does not ignore case")
+        raise invalid_query(f"no case-insensitive form of {t.op}")
     strings = t.fold or t.op in STRING_OPS and not (t.op == "CONTAINS" and path.list_leaf)
     if strings:
         for v in t.values:
             if path.leaf.kind != "string" or not isinstance(v, str):
-                raise invalid_query(f"`{t.op}` tests strings, and `{path.text}` holds {path.leaf} or is tested against {shown(v)}")
+                raise invalid_query(f"{t.op} needs text on both sides: `{path.text}` is of type {path.leaf}, the operand is {shown(v)}")
         return t
     return ir.Test(t.path, t.op, tuple(_fitted(schema, path, t.op, v) for v in t.values), t.fold)
 
 
 def _fitted(schema: Schema, path: Path, op: str, v: object) -> object:
     if v is None:
-        raise invalid_query(f"`{path.text}` is tested with `{op}` against null, which only `==` and `!=` do")
+        raise invalid_query(f"{op} on `{path.text}` with null: only == and != take it")
     if fits(v, path.leaf, schema):
         return v
     if path.leaf.kind == "float" and kind_of(v) == "int" and abs(v) <= EXACT_INT:
         return float(v)
-    raise invalid_query(f"`{path.text}` holds {path.leaf}, and is tested with `{op}` against {shown(v)}")
+    raise invalid_query(f"type mismatch: `{path.text}` of type {path.leaf} {op} {shown(v)}")
 
 
 def sortable(path: Path) -> Path:
     if path.many:
-        raise invalid_query(f"`{path.text}` holds several values, which can't be sorted by")
+        raise invalid_query(f"no order by `{path.text}`: it is many-valued")
     return path
 
 
 def aggregated(path: Path, function: str) -> Path:
     if path.many:
-        raise invalid_query(f"`{path.text}` holds several values, and `{function}` reads one of each object")
+        raise invalid_query(f"{function} over `{path.text}`: it is many-valued")
     if path.link:
-        raise invalid_query(f"`{path.text}` is a link; `{function}` reads a field of the object it links to")
+        raise invalid_query(f"{function} over the link `{path.text}`: name a field behind it")
     takes = ("int", "float") if function in ("sum", "avg") else ("int", "float", "string", "bytes", "date")
     if path.leaf.kind not in takes:
-        raise invalid_query(f"`{path.text}` holds {path.leaf}, which `{function}` does not read")
+        raise invalid_query(f"{function} is undefined for `{path.text}` of type {path.leaf}")
     return path
 
 
