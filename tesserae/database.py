@@ -15,11 +15,12 @@ from .migrate import Migration, migrate, same_schema
 from .model import Collection, Schema, fits, spark_type
 from .operators import aggregate as agg
 from .operators import changes
+from .operators.indexes import narrowed
 from .plans import ir
 from .plans.compile import find, quoted
 from .plans.lang import parse
 from .plans.resolve import collection_of
-from .sources.snapshot import Commit, Store
+from .sources.snapshot import Commit, Store, folders_of
 from .values import Date, EPOCH, literal, normal
 
 
@@ -31,26 +32,35 @@ def prepare(text: str) -> ir.Prepared:
 class Reader:
     """The queries of one collection. Results are DataFrames; nothing is read before an action."""
 
-    def __init__(self, schema: Schema, frames: Callable[[str], DataFrame], name: str):
+    def __init__(self, schema: Schema, frames: Callable[[str], DataFrame], name: str, narrow: Callable[[Collection, ir.Expr | None], DataFrame | None] | None = None):
         self.schema, self.frames = schema, frames
         self.collection: Collection = collection_of(schema, name)
+        self.narrow = narrow
+
+    def _base(self, tree: ir.Query) -> DataFrame | None:
+        """The rows that stored indexes leave of the collection for a query, if they help."""
+        return self.narrow(self.collection, tree.filter) if self.narrow else None
 
     def frame(self) -> DataFrame:
         return self.frames(self.collection.name)
 
     def find(self, query: object = None, *values: object, ordered: bool = True) -> DataFrame:
         """The objects found, in the query's order; without ordered, no sort that a page doesn't need."""
-        return find(self.schema, self.frames, self.collection, tree_of(query, values), ordered)
+        tree = tree_of(query, values)
+        return find(self.schema, self.frames, self.collection, tree, ordered, self._base(tree))
 
     def find_one(self, query: object = None, *values: object) -> dict | None:
-        found = find(self.schema, self.frames, self.collection, tree_of(query, values).first()).collect()
+        tree = tree_of(query, values).first()
+        found = find(self.schema, self.frames, self.collection, tree, base=self._base(tree)).collect()
         return _object(found[0]) if found else None
 
     def count(self, query: object = None, *values: object) -> int:
-        return agg.count(self.schema, self.frames, self.collection, tree_of(query, values))
+        tree = tree_of(query, values)
+        return agg.count(self.schema, self.frames, self.collection, tree, self._base(tree))
 
     def aggregate(self, function: str, path: str, query: object = None, *values: object) -> object:
-        return agg.aggregate(self.schema, self.frames, self.collection, function, path, tree_of(query, values))
+        tree = tree_of(query, values)
+        return agg.aggregate(self.schema, self.frames, self.collection, function, path, tree, self._base(tree))
 
     def sum(self, path: str, query: object = None, *values: object) -> object:
         return self.aggregate("sum", path, query, *values)
@@ -110,7 +120,7 @@ class Writer(Reader):
     """A collection within a write transaction; reads see its own changes."""
 
     def __init__(self, txn: WriteTransaction, name: str):
-        super().__init__(txn.schema, txn.frame, name)
+        super().__init__(txn.schema, txn.frame, name, lambda c, e: narrowed(txn.store, txn.state(), c, e))
         self.txn = txn
 
     @property
@@ -156,19 +166,20 @@ class Writer(Reader):
             if not made:
                 return keys
             df = changes.rows_of(txn.spark, self.schema, c, made)
-        new = txn.stage(df)
+        folder, new = txn.staged(df)
         if c.auto and isinstance(objects, DataFrame):
             counter = changes.next_number(new, counter)
         old = self.frame()
         changes.repeated_key(new, key)
         if replacing:
-            rest = changes.without(old, key, new.select(quoted(key).alias("__k")))
-            changes.check_unique(rest.union(new), self.schema, c, new)
-            txn.replace(c.name, rest.union(new))
+            taken = new.select(quoted(key).alias("__k"))
+            entries = txn.rewritten(c, taken, lambda part: changes.without(part, key, taken))
+            changes.check_unique(txn.store.read_rows(txn.schema, c.name, [*entries, folder]), self.schema, c, new)
+            txn.point(c.name, [*entries, folder])
         else:
             changes.taken_key(old, new, key)
             changes.check_unique(old.union(new), self.schema, c, new)
-            txn.append(c.name, new)
+            txn.point(c.name, [*txn.tables.get(c.name, ()), folder])
         if c.auto:
             txn.counters[c.name] = counter
         return keys
@@ -189,13 +200,15 @@ class Writer(Reader):
     def _update(self, keys: DataFrame, given: dict) -> int:
         c, txn = self.collection, self.txn
         keys = txn.stage(keys)
-        df = changes.updated(self.frame(), self.schema, c, keys, given)
+        change = lambda df: changes.updated(df, self.schema, c, keys, given)
+        change(self.frame())  # refuses what can't be set, whether or not anything is found
         n = keys.count()
         if n and given:
-            df = txn.stage(df)
+            entries = txn.rewritten(c, keys, change)
             if any(p.split(".")[0] in given for i in c.indexes if i.unique for p in i.paths):
+                df = txn.store.read_rows(txn.schema, c.name, entries)
                 changes.check_unique(df, self.schema, c, df.join(keys, quoted(self._key_name) == F.col("__k"), "left_semi"))
-            txn.replace(c.name, df)
+            txn.point(c.name, entries)
         return n
 
     def delete(self, key: object) -> bool:
@@ -210,11 +223,13 @@ class Writer(Reader):
         keys = self.txn.stage(keys)
         gone = changes.cascade(self.schema, self.txn.frame, self.txn.stage, self.collection.name, keys)
         for name, lost in gone.items():
-            self.txn.replace(name, changes.without(self.txn.frame(name), self.schema.find(name).key_name, lost))
+            c = self.schema.find(name)
+            self.txn.point(name, self.txn.rewritten(c, lost, lambda part, c=c, lost=lost: changes.without(part, c.key_name, lost)))
         return keys.count()
 
     def _keys(self, query: object, values: tuple[object, ...]) -> DataFrame:
-        found = find(self.schema, self.frames, self.collection, tree_of(query, values), order=False)
+        tree = tree_of(query, values)
+        found = find(self.schema, self.frames, self.collection, tree, False, self._base(tree))
         return found.select(quoted(self._key_name).alias("__k"))
 
 
@@ -229,7 +244,7 @@ class ReadTransaction:
         return self.store.frame(self.commit, name)
 
     def collection(self, name: str) -> Reader:
-        return Reader(self.schema, self.frame, name)
+        return Reader(self.schema, self.frame, name, lambda c, e: narrowed(self.store, self.commit, c, e))
 
     def __enter__(self) -> ReadTransaction:
         return self
@@ -238,14 +253,24 @@ class ReadTransaction:
         pass
 
 
+#: So many keys are looked for by value, which lets the scan skip row groups without them.
+FEW_KEYS = 1000
+
+
 class WriteTransaction:
-    """Changes on top of a commit. Nothing is seen by others before commit(); abort() leaves nothing."""
+    """Changes on top of a commit. Nothing is seen by others before commit(); abort() leaves nothing.
+
+    A change rewrites the files that hold what it changes; the others are named again. The frames of a transaction are
+    read while it is open: folders that the commit doesn't name go at its end.
+    """
 
     def __init__(self, store: Store, commit: Commit):
         self.store, self.base, self.spark = store, commit, store.spark
         self.schema = commit.schema
         self.tables = {k: list(v) for k, v in commit.tables.items()}
         self.counters = dict(commit.counters)
+        self.indexes = commit.indexes
+        self.made: list[str] = []
         self.changed = False
         self.open = True
 
@@ -255,29 +280,75 @@ class WriteTransaction:
 
     def frame(self, name: str) -> DataFrame:
         self._opened()
-        return self.store.frame(replace(self.base, schema=self.schema, tables={k: tuple(v) for k, v in self.tables.items()}), name)
+        return self.store.frame(self.state(), name)
+
+    def state(self) -> Commit:
+        """What the transaction would commit now."""
+        return Commit(self.base.number + 1, self.schema, {k: tuple(v) for k, v in self.tables.items()}, self.counters, self.indexes)
+
+    def write(self, df: DataFrame, name: str) -> str:
+        """Write rows to a new folder, which goes at the end if the commit doesn't name it."""
+        folder = self.store.write(df, name)
+        self.made.append(folder)
+        return folder
+
+    def staged(self, df: DataFrame) -> tuple[str, DataFrame]:
+        folder = self.write(df, "staged")
+        return folder, self.spark.read.schema(df.schema).parquet(f"{self.store.root}/{folder}")
 
     def stage(self, df: DataFrame) -> DataFrame:
         """Write rows to a folder that no commit names: lineage is cut, and what follows sees the same rows whenever it runs."""
-        return self.spark.read.schema(df.schema).parquet(f"{self.store.root}/{self.store.write(df, 'staged')}")
+        return self.staged(df)[1]
 
     def append(self, name: str, df: DataFrame) -> None:
         """Add rows as a folder of their own; the others stay where they are."""
-        self.tables.setdefault(name, []).append(self.store.write(df, name))
-        self.changed = True
-
-    def replace(self, name: str, df: DataFrame) -> None:
-        self.tables[name] = [self.store.write(df, name)]
-        self.changed = True
+        self.point(name, [*self.tables.get(name, ()), self.write(df, name)])
+
+    def point(self, name: str, entries: list[str]) -> None:
+        """Let the collection have the rows of these folders and files."""
+        if entries != self.tables.get(name):
+            self.tables[name] = entries
+            self.changed = True
+
+    def holding(self, c: Collection, keys: DataFrame) -> list[str]:
+        """The files that hold rows with the keys (column __k)."""
+        if not self.tables.get(c.name):
+            return []
+        rows = self.frame(c.name).select(quoted(c.key_name).alias("__key"), F.col("_metadata.file_path").alias("__file"))
+        few = keys.limit(FEW_KEYS + 1).collect() if c.key_type.kind in ("int", "string") else None
+        if few is not None and len(few) <= FEW_KEYS:
+            rows = rows.where(F.col("__key").isin([r[0] for r in few]))
+        else:
+            rows = rows.join(keys, F.col("__key") == F.col("__k"), "left_semi")
+        # A name a file: no more than the commit and every plan's listing have.
+        return sorted("data/" + "/".join(r[0].split("/")[-2:]) for r in rows.select("__file").distinct().collect())
+
+    def rewritten(self, c: Collection, keys: DataFrame, change: Callable[[DataFrame], DataFrame]) -> list[str]:
+        """The collection's entries once the files that hold the keys have been rewritten by the change; others aren't read."""
+        old, found = self.tables.get(c.name, []), self.holding(c, keys)
+        if not found:
+            return list(old)
+        folders, gone, entries = {f.rsplit("/", 1)[0] for f in found}, set(found), []
+        for e in old:
+            entries += [f for f in self.store.files(e) if f not in gone] if e in folders or e in gone else [e]
+        return [*entries, self.write(change(self.store.read_rows(self.schema, c.name, found)), c.name)]
 
     def commit(self) -> None:
         self._opened()
         self.open = False
-        if self.changed or self.counters != self.base.counters or self.schema != self.base.schema:
-            self.store.publish(Commit(self.base.number + 1, self.schema, {k: tuple(v) for k, v in self.tables.items()}, self.counters))
+        new = self.state()
+        try:
+            if self.changed or self.counters != self.base.counters or self.schema != self.base.schema:
+                self.store.publish(new)
+        except EngineError:
+            self.store.delete(self.made)
+            raise
+        self.store.delete(set(self.made) - folders_of(new.tables))
 
     def abort(self) -> None:
-        self.open = False
+        if self.open:
+            self.open = False
+            self.store.delete(self.made)
 
     def _opened(self) -> None:
         if not self.open:

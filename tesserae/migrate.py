@@ -140,12 +140,12 @@ def migrate(txn: WriteTransaction, declared: Schema, migrations: tuple[Migration
         counters |= {c.name: txn.counters[name]} if name in txn.counters else {}
         unchanged = all(f.name == before.fields.get(f.name) and f == before.stored.find(f.name) for f in c.fields)
         if unchanged and c.name == name or name not in txn.tables:
-            tables[c.name] = txn.tables.get(name, [])
+            tables[c.name] = list(txn.tables.get(name, []))
             continue
         df = old.frame(name)
         columns = [_column(f, before, declared).alias(f.name) for f in c.all_fields]
-        tables[c.name] = [txn.store.write(df.select(*columns), c.name)]
-    txn.schema, txn.tables, txn.counters, txn.changed = declared, tables, counters, True
+        tables[c.name] = [txn.write(df.select(*columns), c.name)]
+    txn.schema, txn.tables, txn.counters, txn.indexes, txn.changed = declared, tables, counters, {}, True
     try:
         for m in steps:
             if m.run is not None:

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import invalid_argument, invalid_query
@@ -18,21 +19,21 @@ from ..values import Date, INT_MAX, INT_MIN
 FUNCTIONS = {"sum": 1, "min": 2, "max": 3, "avg": 4}
 
 
-def count(schema: Schema, frames: Frames, collection: Collection, q: ir.Query) -> int:
+def count(schema: Schema, frames: Frames, collection: Collection, q: ir.Query, base: DataFrame | None = None) -> int:
     """The number of objects found: rows are counted without their columns, and the page is arithmetic."""
-    plan = Plan(schema, frames, collection)
+    plan = Plan(schema, frames, collection, base=base)
     plan.filter(q.filter)
     Plan(schema, frames, collection).ordered(q)  # refuses a sort that can't be
     n = max(0, plan.df.count() - q.offset)
     return n if q.limit is None else min(n, q.limit)
 
 
-def aggregate(schema: Schema, frames: Frames, collection: Collection, function: str, path: tuple[str, ...] | str, q: ir.Query) -> object:
+def aggregate(schema: Schema, frames: Frames, collection: Collection, function: str, path: tuple[str, ...] | str, q: ir.Query, base: DataFrame | None = None) -> object:
     """sum, min, max or avg of a field: sums are exact and rounded once; of no values a sum is 0 and the rest null."""
     if function not in FUNCTIONS:
         raise invalid_query(f"`{function}` is no aggregate")
     found = aggregated(resolve_path(schema, collection, ir.path_of(path)), function)
-    plan = Plan(schema, frames, collection)
+    plan = Plan(schema, frames, collection, base=base)
     plan.filter(q.filter)
     value = plan.single(found)
     plan.paged(q, order=False)

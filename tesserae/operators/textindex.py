@@ -21,16 +21,20 @@ def index_terms(df: DataFrame, schema: Schema, c: Collection, path: str) -> Data
 
 
 def search(index: DataFrame, words: str) -> DataFrame:
-    """The distinct keys whose text has every word: one pass over the matching terms, counted per text."""
-    asked = Words.of(words)
+    """The distinct keys whose text has every word."""
+    return places(index, Words.of(words), "term", "key", "place").select("key").distinct()
+
+
+def places(index: DataFrame, asked: Words, term: str, *by: str) -> DataFrame:
+    """The columns `by` of the texts that have every word: one pass over the matching terms, grouped by text."""
     wanted = [(w, True) for w in sorted(asked.exact)] + [(w, False) for w in sorted(asked.prefixes)]
     if not wanted:
-        return index.select("key").limit(0)
-    met = [F.col("term") == w if exact else F.col("term").startswith(w) for w, exact in wanted]
+        return index.select(*by).limit(0)
+    met = [F.col(term) == w if exact else F.col(term).startswith(w) for w, exact in wanted]
     any_met = met[0]
     for m in met[1:]:
         any_met = any_met | m
-    found = index.where(any_met).groupBy("key", "place").agg(*(F.bool_or(m).alias(f"w{k}") for k, m in enumerate(met)))
+    found = index.where(any_met).groupBy(*by).agg(*(F.bool_or(m).alias(f"w{k}") for k, m in enumerate(met)))
     for k in range(len(met)):
         found = found.where(f"w{k}")
-    return found.select("key").distinct()
+    return found.select(*by)

@@ -35,9 +35,9 @@ def quoted(name: str) -> Column:
 class Plan:
     """A collection's rows on their way through one query; columns of joined targets are added as paths need them."""
 
-    def __init__(self, schema: Schema, frames: Frames, collection: Collection, numbers: itertools.count | None = None):
+    def __init__(self, schema: Schema, frames: Frames, collection: Collection, numbers: itertools.count | None = None, base: DataFrame | None = None):
         self.schema, self.frames, self.collection = schema, frames, collection
-        self.df = frames(collection.name)
+        self.df = frames(collection.name) if base is None else base
         self.columns = self.df.columns
         self.joined: dict[tuple[str, ...], Callable[[str], Column]] = {}
         self.numbers = numbers or itertools.count()
@@ -185,7 +185,7 @@ class Plan:
         """The distinct keys that the objects of another collection link to."""
         owner = self.schema.find(e.collection)
         if owner is None:
-            raise invalid_query(f"`ANY` names the collection `{e.collection}`, which there is not")
+            raise invalid_query(f"ANY: unknown collection `{e.collection}`")
         path = resolve_path(self.schema, owner, e.path)
         if len(path.segments) > 1 or not path.link or path.leaf.target != self.collection.name:
             raise invalid_query(f"`{e.collection}.{path.text}` is not a link to `{self.collection.name}`")
@@ -309,9 +309,12 @@ def _any(items: list[Column]) -> Column:
     return out
 
 
-def find(schema: Schema, frames: Frames, collection: Collection, q: ir.Query, order: bool = True) -> DataFrame:
-    """The objects that a query finds, in its order (or, without order, in any, if no page is cut)."""
-    plan = Plan(schema, frames, collection)
+def find(schema: Schema, frames: Frames, collection: Collection, q: ir.Query, order: bool = True, base: DataFrame | None = None) -> DataFrame:
+    """The objects that a query finds, in its order (or, without order, in any, if no page is cut).
+
+    The filter's objects are among the rows of base, if it is given.
+    """
+    plan = Plan(schema, frames, collection, base=base)
     plan.filter(q.filter)
     plan.paged(q, order)
     return plan.rows()

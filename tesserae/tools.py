@@ -13,6 +13,7 @@ from .database import Database, ReadTransaction
 from .errors import EngineError, invalid_argument
 from .model import AUTO_KEY, MISSING, Collection, Schema
 from .operators.changes import unique_values
+from .operators.indexes import build
 from .plans.compile import quoted
 from .sources.snapshot import Commit, Store
 
@@ -75,7 +76,7 @@ def _copied(source: Store, commit: Commit, target: Store, read) -> Commit:
         if commit.tables.get(c.name):
             df: DataFrame = read(c.name)
             tables[c.name] = (target.write(df.repartitionByRange(quoted(c.key_name)).sortWithinPartitions(quoted(c.key_name)), c.name),)
-    return replace(commit, tables=tables)
+    return replace(commit, tables=tables, indexes={})
 
 
 def backup(db: Database, path: str) -> None:
@@ -90,14 +91,22 @@ def backup(db: Database, path: str) -> None:
 def compact(db: Database) -> int:
     """Rewrite every collection as one folder in key order, and drop what older commits used; the number of folders dropped.
 
-    Readers of older commits must be done, as their files go.
+    Stored indexes are built anew, if there were any. Readers of older commits must be done, as their files go.
     """
     txn = db.read()
     new = replace(_copied(db.store, txn.commit, db.store, txn.frame), number=txn.commit.number + 1)
+    if txn.commit.indexes:
+        new = replace(new, indexes=build(db.store, new))
     db.store.publish(new)
     return db.store.drop_unused(new)
 
 
+def index(db: Database) -> None:
+    """Store the declared indexes of one field for all rows there are; what is written later is read until this is run again."""
+    commit = db.read().commit
+    db.store.publish(replace(commit, number=commit.number + 1, indexes=build(db.store, commit)))
+
+
 def salvage(spark: SparkSession, root: str, path: str, schema: Schema | None = None) -> dict[str, int]:
     """Copy what can still be read to a new database; the number of rows by collection.
 

@@ -256,3 +256,142 @@ def test_find_returns_lazy_frames(spark, root):
     with db.write() as txn:
         txn.collection("users").insert_many([{"name": "Ada"}])
     assert db.read().collection("users").find(where(F.name == "Ada")).columns == ["id", "name", "email", "age"]
+
+
+def test_changes_rewrite_only_the_files_they_touch(spark, root):
+    schema = Schema.of(1, Collection.of("a", Field("x", Int), Field("y", Int, default=0), Field("name", String, optional=True), key="x", indexes=(Index.on("name", unique=True),)))
+    db = Database.open(spark, root, schema)
+    with db.write() as txn:
+        for k in range(0, 800, 100):
+            txn.append("a", spark.range(k, k + 100, 1, 2).selectExpr("id as x", "0L as y", "concat('n', id) as name"))
+
+    def files():
+        commit = db.store.latest()
+        return {f for e in commit.tables["a"] for f in db.store.files(e)}
+
+    def kept_after(change):
+        before = files()
+        with db.write() as txn:
+            change(txn.collection("a"))
+        return len(before) - len(before & files())
+
+    assert len(files()) > 4
+    assert kept_after(lambda a: a.update(5, {"y": 1})) == 1
+    assert kept_after(lambda a: a.delete(799)) == 1
+    assert kept_after(lambda a: a.put({"x": 700, "name": "p", "y": 2})) == 1
+    assert kept_after(lambda a: a.put({"x": 9000})) == 0 and kept_after(lambda a: a.update(-4, {"y": 1})) == 0 and kept_after(lambda a: a.delete_where("x < 0")) == 0
+    assert 1 <= kept_after(lambda a: a.update_where("x IN [6, 7]", {"y": 3})) <= 2
+    assert kept_after(lambda a: a.update_where(None, {"y": 4, "name": None})) > 4
+    a = db.read().collection("a")
+    assert len(a) == 800 and a.sum("y") == 3200 and a.count("name IS NULL") == 800
+    with db.write() as txn:
+        txn.collection("a").update(1, {"name": "one"})
+    with refused("DUPLICATE_KEY"), db.write() as txn:
+        txn.collection("a").update(2, {"name": "one"})
+    assert tools.check(db) == []
+
+
+def test_many_keys_are_found_by_a_join(spark, root, monkeypatch):
+    monkeypatch.setattr("tesserae.database.FEW_KEYS", 2)
+    db = Database.open(spark, root, Schema.of(1, Collection.of("a", Field("x", Int), Field("y", Int, default=0), key="x")))
+    with db.write() as txn:
+        a = txn.collection("a")
+        a.insert_many(spark.range(0, 50, 1, 5).selectExpr("id as x"))
+        assert a.update_where("x >= 40", {"y": 1}) == 10 and a.delete_where("x < 10") == 10
+        a.put_many(spark.range(20, 60).selectExpr("id as x", "2 as y"))
+    a = db.read().collection("a")
+    assert len(a) == 50 and a.sum("y") == 80
+
+
+def test_ends_leave_no_folders_behind(spark, root):
+    db = Database.open(spark, root, USERS)
+    folders = lambda: {f"data/{f}" for f in db.store.listed("data")}
+    with db.write() as txn:
+        users = txn.collection("users")
+        users.insert_many([{"name": f"u{k}"} for k in range(5)])
+        users.update(1, {"age": 5})
+        users.delete(2)
+    used = {"/".join(e.split("/")[:2]) for e in db.store.latest().tables["users"]}
+    assert folders() == used
+    with pytest.raises(RuntimeError), db.write() as txn:
+        txn.collection("users").delete_where()
+        raise RuntimeError
+    assert folders() == used and db.read().collection("users").count() == 4
+    with refused("BUSY"), db.write() as txn:
+        txn.collection("users").update(1, {"age": 1})
+        with db.write() as other:
+            other.collection("users").update(3, {"age": 7})
+    assert folders() == {"/".join(e.split("/")[:2]) for e in db.store.latest().tables["users"]} and db.store.listed("drafts") == []
+
+
+def test_a_claim_that_was_left_behind_is_taken_over(spark, root):
+    db = Database.open(spark, root, USERS)
+    left = db.store.path("commits", f".claim-{2:010d}.json")
+    db.store._write(left, "a writer that died")
+    with refused("BUSY"), db.write() as txn:
+        txn.collection("users").insert({"name": "a"})
+    db.store.claim_seconds = 0
+    with db.write() as txn:
+        txn.collection("users").insert({"name": "b"})
+    assert [r.name for r in db.read().collection("users").find().collect()] == ["b"] and not db.store.fs.exists(left)
+
+
+def test_failures_of_the_store_are_not_reported_as_conflicts(spark, root, monkeypatch):
+    from py4j.protocol import Py4JJavaError
+
+    db = Database.open(spark, root, USERS)
+    plain = db.store._write
+
+    def full(path, text):
+        if path.getName().startswith(".claim"):
+            db.store.fs.open(db.store.path("nothing"))  # fails as a store may, with another error than that of a conflict
+        plain(path, text)
+
+    monkeypatch.setattr(db.store, "_write", full)
+    with pytest.raises(Py4JJavaError) as e, db.write() as txn:
+        txn.collection("users").insert({"name": "a"})
+    assert "AlreadyExists" not in e.value.java_exception.getClass().getName()
+    monkeypatch.undo()
+    with db.write() as txn:
+        txn.collection("users").insert({"name": "a"})
+    assert db.read().collection("users").count() == 1
+
+
+def test_stored_indexes_change_what_is_read_and_not_what_is_found(spark, root):
+    schema = Schema.of(
+        1,
+        Collection.of(
+            "a", Field("x", Int), Field("n", Int, default=0), Field("text", String, optional=True), Field("tags", List(String), optional=True), Field("next", Link("a"), optional=True), key="x",
+            indexes=(Index.on("n"), Index.on("text", text=True), Index.on("tags")),
+        ),
+    )
+    db = Database.open(spark, root, schema)
+    with db.write() as txn:
+        for k in range(5):
+            txn.append("a", spark.range(k * 10, k * 10 + 10).selectExpr("id as x", "id div 5 as n", f"if(id % 3 = 0, null, concat('word{k} The Same ', id)) as text", "if(id % 4 = 0, null, array(concat('t', id), 'all')) as tags", "(id + 1) % 50 as next"))
+    questions = [
+        "n == 3", "n IN [0, 9]", "n >= 9", "n < 1 AND text MATCHES \"same\"", 'text MATCHES "word2 the"', 'text MATCHES "word*"', 'text MATCHES "nothing"', "n BETWEEN 2 AND 4 OR x == 0",
+        'tags CONTAINS "t7"', 'tags CONTAINS "T7" IGNORE CASE', 'NOT text MATCHES "word1"', "n == 3 AND next.n == 3", "n == 9 AND ANY a.next (n == 0)", "text IS NULL AND n == 2", "n != 4", "n == 3 SORT BY x DESC LIMIT 2",
+    ]
+
+    def answers():
+        a = db.read().collection("a")
+        return [([r.x for r in a.find(q).collect()], a.count(q), a.sum("x", q)) for q in questions]
+
+    plain = answers()
+    tools.index(db)
+    assert answers() == plain
+    read = lambda q: db.read().collection("a").find(q).inputFiles()
+    everything = len(read("x >= 0"))
+    assert len(read("n == 3")) < everything and len(read('text MATCHES "word2"')) < everything and len(read('text MATCHES "nothing"')) == 0 and len(read('NOT text MATCHES "word1"')) == everything
+    with db.write() as txn:
+        a = txn.collection("a")
+        a.update_where("n == 3", {"n": 4})
+        a.insert({"x": 100, "n": 3, "text": "word2 the new"})
+        a.delete_where('text MATCHES "word4" AND n == 9')
+        assert a.count("n == 3") == 1
+    now = answers()
+    assert now != plain
+    tools.compact(db)
+    assert answers() == now and "a" in db.store.latest().indexes
+    assert [r.x for r in db.read().collection("a").find('text MATCHES "word2 new"').collect()] == [100]
