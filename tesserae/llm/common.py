@@ -80,6 +80,13 @@ def give_back() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """The name, longer if df has a column of it."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name += "_"
+    return name
+
+
 def crc_mod(column: str, modulus: int) -> Column:
     """crc32(the id as text) mod modulus; the text of a null id is empty."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % modulus

@@ -1,11 +1,14 @@
 """SimHash near-duplicates: a segment-popcount grid join, then exact verification.
 
-Two fingerprints of 64 bits that differ in at most three bits agree in one of four 16-bit segments, and
-the Manhattan distance of their per-segment bit counts is at most three, for it is a lower bound of the
-Hamming distance. The grid's cells are (segment, its value, bit count of the other three segments in steps
-of four); a fingerprint is at home in its cell and visits the next one, so every pair within range meets
-exactly where one of them is at home. Within a cell the bit-count vectors are compared first and the
-fingerprints last; a spanning forest of the links leaves the task, never the pairs of a group.
+A fingerprint of 64 bits is embedded as the bit counts of its 32 segments of two bits. The Manhattan distance of two such
+vectors is a lower bound of the Hamming distance. Vectors within a Manhattan distance of three differ in at most three
+segments, so of the six groups that the segments are dealt to, three agree: the grid's cells are the counts of any three
+groups (20 of them), and every two vectors within range share one. Within a cell the Manhattan distance is taken first
+and the Hamming distance last; a spanning forest of the links leaves the task, never the pairs of a group.
+
+The counts are kept in unary, a segment's bits sorted: then the Manhattan distance is the bit count of an exclusive or,
+and a cell is a mask. Three groups have 15 to 17 segments, some 24 bits of information in random fingerprints: a cell's
+partners are fewer than those that share 16 bits, and 20 rows a fingerprint are shuffled.
 
 Distinct fingerprints are compared, so copies cost nothing. A cell with more than HOT_CELL fingerprints is
 cut into chunks of that size, and every two chunks meet in a task of their own: exact, in bounded memory.
@@ -17,15 +20,20 @@ rows and ids each get a row; a null doc_id never names a component unless it has
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, frugal, roots_of, session, texts, written
+from .common import components, discard, frugal, roots_of, session, texts, unused, written
 
 HOT_CELL = 20_000
+#: The greatest distance that the grid finds; segments are dealt to twice as many groups.
+REACH, GROUPS = 3, 6
+#: The low bit of each segment.
+LOW = 0x5555555555555555
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
@@ -73,6 +81,23 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(frugal(run), f"doc_id {kind}, fp long")
 
 
+def embedded(fp: Column) -> Column:
+    """The bit counts of the segments in unary: each segment's bits, sorted."""
+    low, high = fp.bitwiseAND(LOW), F.shiftrightunsigned(fp, 1).bitwiseAND(LOW)
+    return low.bitwiseOR(high).bitwiseOR(F.shiftleft(low.bitwiseAND(high), 1))
+
+
+def _signed(n: int) -> int:
+    return n - (1 << 64) if n >> 63 else n
+
+
+def cells(fp: Column) -> Column:
+    """The grid's cells of a fingerprint: which groups, and their segments' counts."""
+    groups = [sum(3 << 2 * s for s in range(32) if s % GROUPS == g) for g in range(GROUPS)]
+    masks = [sum(c) for c in combinations(groups, GROUPS - REACH)]
+    return F.array(*(F.struct(F.lit(n).alias("mask"), embedded(fp).bitwiseAND(F.lit(_signed(m))).alias("counts")) for n, m in enumerate(masks)))
+
+
 def _cell_links(batches: Iterator[pa.RecordBatch], distance: int) -> Iterator[pa.RecordBatch]:
     """A spanning forest of the links within the cells of a partition."""
     table = pa.Table.from_batches(list(batches)) if (batches := list(batches)) else None
@@ -80,11 +105,11 @@ def _cell_links(batches: Iterator[pa.RecordBatch], distance: int) -> Iterator[pa
         return
     key = table["cell"].to_numpy()
     fp = table["fp"].to_numpy().view(np.uint64)
-    home = table["home"].to_numpy(zero_copy_only=False)
     order = np.argsort(key, kind="stable")
-    key, fp, home = key[order], fp[order], home[order]
+    key, fp = key[order], fp[order]
     node, at = np.unique(fp, return_inverse=True)
-    counts = np.bitwise_count(fp.view(np.uint16).reshape(-1, 4)).astype(np.int8)
+    low, high = fp & np.uint64(LOW), fp >> np.uint64(1) & np.uint64(LOW)
+    counts = low | high | (low & high) << np.uint64(1)
     parent, links = np.arange(len(node)), []
     left, step = np.arange(len(key)), 0
     while True:
@@ -94,8 +119,7 @@ def _cell_links(batches: Iterator[pa.RecordBatch], distance: int) -> Iterator[pa
         if not len(left):
             break
         a, b = left, left + step
-        near = np.abs(counts[a] - counts[b]).sum(1) <= distance
-        near &= home[a] | home[b]
+        near = np.bitwise_count(counts[a] ^ counts[b]) <= distance
         a, b = a[near], b[near]
         near = np.bitwise_count(fp[a] ^ fp[b]) <= distance
         a, b = at[a[near]], at[b[near]]
@@ -117,25 +141,17 @@ def _cell_links(batches: Iterator[pa.RecordBatch], distance: int) -> Iterator[pa
 
 def links(nodes: DataFrame, distance: int = 3, hot_cell: int = HOT_CELL) -> DataFrame:
     """(a, b): links that connect whatever fingerprints (column fp, distinct) within the distance connect."""
-    if not 0 <= distance <= 3:
+    if not 0 <= distance <= REACH:
         raise ValueError("the grid finds differences of at most three bits")
-    cells = []
-    for k in range(4):
-        value = F.expr(f"shiftrightunsigned(fp, {16 * k}) & 65535L")
-        rest = F.bit_count(F.col("fp").bitwiseAND(F.lit(~(65535 << 16 * k) if k < 3 else (1 << 48) - 1)))
-        step = F.floor(rest / 4)
-        for home in (True, False):
-            cells.append(F.struct(((value * 4 + k) * 16 + step + (0 if home else 1)).cast("long").alias("cell"), F.lit(home).alias("home")))
-    placed = nodes.select("fp", F.explode(F.array(*cells)).alias("c")).select("fp", "c.cell", "c.home")
-    sizes = placed.groupBy("cell").count().where(F.col("count") > hot_cell)
-    hot = sizes.select("cell", F.ceil(F.col("count") / hot_cell).cast("long").alias("n"))
-    placed = placed.join(hot, "cell", "left")
+    placed = nodes.select("fp", F.explode(cells(F.col("fp"))).alias("c")).select("fp", F.xxhash64("c.mask", "c.counts").alias("cell"))
+    sizes = placed.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1")
+    # A cell of one fingerprint links nothing.
+    sizes = written(sizes.select("cell", F.ceil(F.col("n") / hot_cell).cast("long").alias("n")), "simhash-cells")
+    placed = placed.join(sizes, "cell")
     mine = F.pmod(F.xxhash64("fp"), F.col("n"))
-    other = F.explode(F.when(F.col("n").isNull(), F.array(F.lit(-1).cast("long"))).otherwise(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
-    placed = placed.select("fp", "home", "cell", mine.alias("mine"), other.alias("other"))
+    placed = placed.select("fp", "cell", "n", mine.alias("mine"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("other"))
     pair = F.xxhash64("cell", F.least("mine", "other"), F.greatest("mine", "other"))
-    placed = placed.select("fp", "home", F.when(F.col("other") < 0, F.col("cell")).otherwise(pair).alias("cell"))
-    # Home or visitor: a cell that is empty of homes links nothing.
+    placed = placed.select("fp", F.when(F.col("n") == 1, F.col("cell")).otherwise(pair).alias("cell"))
     return placed.repartition("cell").mapInArrow(frugal(lambda x: _cell_links(x, distance)), "a long, b long")
 
 
@@ -147,12 +163,17 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 3, hot_ce
     roots = components(links(nodes, distance, hot_cell), "simhash-links")
     rooted = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    named = rooted.join(least, "root").select("fp", "component_id")
+    named = written(rooted.join(least, "root").select("fp", "component_id"), "simhash-named")
+    discard(nodes, roots)
     return rows.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, shingle: int = 3, distance: int = 3) -> DataFrame:
-    """docs without the rows that have a near-duplicate of lesser doc_id; of rows with one id, one stays."""
+    """docs without the rows that have a near-duplicate of lesser doc_id; of rows with one id, the one with the least hash of its text stays."""
     found = near_duplicates(docs, shingle, distance)
     kept = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"]).union(docs.where(F.col("doc_id").isNull()))
+    key = unused(docs, "own_hash")
+    own = docs.withColumn(key, F.xxhash64("text")).join(kept, "doc_id", "left_semi")
+    first = own.groupBy("doc_id").agg(F.min(key).alias(key))
+    one = own.join(first, ["doc_id", key], "left_semi").dropDuplicates(["doc_id", key])
+    return one.select(docs.columns).union(docs.where(F.col("doc_id").isNull()))

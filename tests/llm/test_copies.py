@@ -73,6 +73,34 @@ def test_simhash_links_dense_fingerprints(spark):
         assert {f: roots.get(f, f) for f in fps} == {f: root(f) for f in fps}
 
 
+def test_fingerprints_within_reach_share_a_cell(spark):
+    rng = np.random.default_rng(7)
+    pairs = []
+    for _ in range(3000):
+        a = int(rng.integers(0, 1 << 64, dtype=np.uint64))
+        pairs.append((a, a ^ sum(1 << int(b) for b in rng.choice(64, rng.integers(0, 12), replace=False))))
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    df = spark.createDataFrame([(k, signed(f)) for k, p in enumerate(pairs) for f in p], "k int, fp long")
+    found = {}
+    for r in df.select("k", "fp", simhash.embedded(df.fp).alias("e"), simhash.cells(df.fp).alias("c")).collect():
+        counts = [(r.fp >> 2 * s & 1) + (r.fp >> 2 * s + 1 & 1) for s in range(32)]
+        assert [(0, 1, 3)[n] for n in counts] == [r.e >> 2 * s & 3 for s in range(32)] and len(r.c) == 20
+        found.setdefault(r.k, []).append((counts, {tuple(c) for c in r.c}))
+    near = 0
+    for k, ((x, c), (y, d)) in found.items():
+        manhattan = sum(abs(p - q) for p, q in zip(x, y))
+        assert manhattan <= (pairs[k][0] ^ pairs[k][1]).bit_count()
+        near += manhattan <= 3
+        assert manhattan > 3 or c & d
+    assert near > 900
+
+
+def test_one_id_on_different_texts_has_a_stable_choice(spark):
+    rows = [(1, "a b c d e"), (1, "x y z q r s"), (2, "a b c d e"), (1, "a b c d e")]
+    kept = {tuple(map(tuple, simhash.keep_one(spark.createDataFrame(part, "doc_id long, text string").repartition(n)).collect())) for part in (rows, rows[::-1]) for n in (1, 3)}
+    assert len(kept) == 1
+
+
 def test_simhash_keeps_one_of_each_group(corpus, nothing):
     kept = simhash.keep_one(corpus)
     assert kept.columns == corpus.columns
@@ -101,7 +129,7 @@ def brute_repeats(rows, length):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize(("length", "k", "hot"), [(400, 128, 4096), (100, 40, 4096), (100, 40, 1), (30, 30, 4096)])
+@pytest.mark.parametrize(("length", "k", "hot"), [(400, 128, 4096), (200, 64, 1024), (100, 40, 4096), (100, 40, 1), (30, 30, 4096)])
 def test_repeats_equal_brute_force(corpus, length, k, hot):
     rows = [(r.doc_id, r.text) for r in corpus.collect()]
     found = suffix_dedup.digest(corpus, length, k, hot)
