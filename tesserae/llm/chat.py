@@ -1,10 +1,10 @@
 """Chat formatting with Spark expressions only.
 
-A conversation's rows are collected as structs and sorted by turn; adjacent turns of one role are merged into one
-block by an array aggregation; blocks are concatenated. A block is `<|role|>` role, then its turns, each behind
-`<|text|>`, then `<|end|>`. Inside a text or role, a backslash is doubled and one is put after the first character
-of every control string (of this template or the usual others: `<|`, `<s>`, `</s>`, `[INST]`, `[/INST]`), so the
-output never holds a control string that came from a text, and reading it back is exact.
+A conversation's rows are collected as structs and sorted by turn, role and text as they stand; adjacent turns of one
+role are merged into one block, and array aggregations give the turns' places; blocks are concatenated. A block is
+`<|role|>` role, then its turns, each behind `<|text|>`, then `<|end|>`. Inside a text or role, a backslash is doubled and
+one is put after the first character of every control string (of this template or the usual others: `<|`, `<s>`, `</s>`,
+`[INST]`, `[/INST]`), so the output never holds a control string that came from a text, and reading it back is exact.
 
 The loss mask covers the texts of the assistant's turns; `mask` gives its spans in characters of the output.
 
@@ -33,32 +33,50 @@ def unescape(c: Column) -> Column:
     return F.regexp_replace(c, r"(?s)\\(.)", "$1")
 
 
-def format_conversations(rows: DataFrame, learned_role: str = "assistant") -> DataFrame:
-    """conv_id, formatted and mask (array of start, length in characters), a row per conversation."""
-    empty = F.lit("")
-    turn = F.struct("turn", escape(F.coalesce(F.col("role").cast("string"), empty)).alias("role"), escape(F.coalesce(F.col("text").cast("string"), empty)).alias("text"))
-    sorted_turns = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
-    no_blocks = F.expr("cast(array() as array<struct<role:string,texts:array<string>>>)")
+#: Arrays are summed and texts cut so many elements at a time: work is linear in a conversation's length.
+STEP = 256
 
-    def merged(blocks: Column, t: Column) -> Column:
-        last = F.element_at(blocks, -1)
-        same = (F.size(blocks) > 0) & (F.get(blocks, F.size(blocks) - 1)["role"] == t["role"])
-        longer = F.concat(F.slice(blocks, 1, F.size(blocks) - 1), F.array(F.struct(last["role"].alias("role"), F.concat(last["texts"], F.array(t["text"])).alias("texts"))))
-        return F.when(same, longer).otherwise(F.concat(blocks, F.array(F.struct(t["role"].alias("role"), F.array(t["text"]).alias("texts")))))
 
-    blocks = sorted_turns.select("conv_id", F.aggregate("turns", no_blocks, merged).alias("blocks"))
-    wide = lambda b: F.aggregate(b["texts"], F.lit(0), lambda n, t: n + len(TEXT) + F.char_length(t))
-    sized = lambda b: len(ROLE) + F.char_length(b["role"]) + wide(b) + len(END)
-    start = F.expr("cast(named_struct('at', 0, 'mask', array()) as struct<at:int,mask:array<struct<start:int,length:int>>>)")
+def _pieces(array: Column) -> Column:
+    """The array in pieces of STEP elements, none for an empty one."""
+    last = F.floor((F.size(array) - 1) / STEP).cast("int")
+    return F.when(F.size(array) == 0, F.slice(F.array(array), 1, 0)).otherwise(F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda k: F.slice(array, k * STEP + 1, STEP)))
 
-    def masked(s: Column, b: Column) -> Column:
-        """The spans of a block's texts, appended if the role is learned."""
-        inner = F.struct((s["at"] + len(ROLE) + F.char_length(b["role"])).alias("at"), s["mask"].alias("mask"))
-        spans = F.aggregate(b["texts"], inner, lambda x, t: F.struct((x["at"] + len(TEXT) + F.char_length(t)).alias("at"), F.concat(x["mask"], F.array(F.struct((x["at"] + len(TEXT)).alias("start"), F.char_length(t).alias("length")))).alias("mask")))
-        return F.struct((s["at"] + sized(b)).alias("at"), F.when(b["role"] == learned_role, spans["mask"]).otherwise(s["mask"]).alias("mask"))
 
-    text = F.array_join(F.transform("blocks", lambda b: F.concat(F.lit(ROLE), b["role"], F.array_join(F.transform(b["texts"], lambda t: F.concat(F.lit(TEXT), t)), ""), F.lit(END))), "")
-    return blocks.select("conv_id", text.alias("formatted"), F.aggregate("blocks", start, masked)["mask"].alias("mask"))
+def format_conversations(rows: DataFrame, learned_role: str = "assistant") -> DataFrame:
+    """conv_id, formatted and mask (array of start, length in characters), a row per conversation."""
+    empty = F.lit("")
+    turn = F.struct("turn", F.coalesce(F.col("role").cast("string"), empty).alias("role"), F.coalesce(F.col("text").cast("string"), empty).alias("text"))
+    turns = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
+    # Sorted as they are, escaped afterwards.
+    escaped = lambda t: F.struct(escape(t["role"]).alias("role"), escape(t["text"]).alias("text"), (t["role"] == learned_role).alias("learned"))
+    turns = turns.select("conv_id", F.transform("turns", escaped).alias("turns"))
+
+    def merged(t: Column, k: Column) -> Column:
+        """A turn's part of the output: one that continues its predecessor's block has no head."""
+        new = (k == 0) | (F.get(F.col("turns"), k - 1)["role"] != t["role"])
+        head = F.when(new, F.concat(F.when(k > 0, END).otherwise(""), F.lit(ROLE), t["role"], F.lit(TEXT))).otherwise(TEXT)
+        return F.struct(head.alias("head"), t["text"].alias("text"), t["learned"].alias("learned"))
+
+    parts = turns.select("conv_id", F.transform("turns", merged).alias("parts"))
+    size = lambda p: F.char_length(p["head"]) + F.char_length(p["text"])
+    total = lambda piece: F.aggregate(piece, F.lit(0), lambda n, p: n + size(p))
+    start = "cast(named_struct('at', {}, 'spans', array()) as struct<at:int,spans:array<struct<start:int,length:int>>>)"
+
+    def placed(s: Column, p: Column) -> Column:
+        """The span of a part's text, appended if it is learned."""
+        span = F.array(F.struct((s["at"] + F.char_length(p["head"])).alias("start"), F.char_length(p["text"]).alias("length")))
+        return F.struct((s["at"] + size(p)).alias("at"), F.when(p["learned"], F.concat(s["spans"], span)).otherwise(s["spans"]).alias("spans"))
+
+    def spans(piece: Column) -> Column:
+        return F.aggregate(piece, F.expr(start.format(0)), placed)["spans"]
+
+    text = F.concat(F.array_join(F.transform("parts", lambda p: F.concat(p["head"], p["text"])), ""), F.lit(END))
+    pieces = parts.select("conv_id", text.alias("formatted"), F.transform(_pieces(F.col("parts")), lambda p: F.struct(total(p).alias("size"), spans(p).alias("spans"))).alias("pieces"))
+    bases = F.aggregate("pieces", F.expr("array(0)"), lambda b, p: F.concat(b, F.array(F.element_at(b, -1) + p["size"])))
+    based = pieces.select("conv_id", "formatted", "pieces", bases.alias("bases"))
+    moved = lambda p, k: F.transform(p["spans"], lambda s: F.struct((s["start"] + F.get(F.col("bases"), k)).alias("start"), s["length"].alias("length")))
+    return based.select("conv_id", "formatted", F.flatten(F.transform("pieces", moved)).alias("mask"))
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
@@ -67,7 +85,14 @@ def read_back(formatted: DataFrame) -> DataFrame:
     blocks = F.filter(F.split("formatted", literal(ROLE)), lambda b: b != "")
     parts = F.transform(blocks, lambda b: F.split(F.regexp_replace(b, literal(END) + "$", ""), literal(TEXT)))
     turns = F.flatten(F.transform(parts, lambda p: F.transform(F.slice(p, 2, F.size(p)), lambda t: F.struct(unescape(p[0]).alias("role"), unescape(t).alias("text")))))
-    learned = F.array_join(F.transform("mask", lambda m: unescape(F.substring("formatted", m["start"] + 1, m["length"]))), "")
+
+    def cut(piece: Column) -> Column:
+        """The texts under a piece of the mask, cut from the stretch that holds them."""
+        first, last = piece[0]["start"], F.element_at(piece, -1)
+        stretch = F.array(F.substring(F.col("formatted"), first + 1, last["start"] + last["length"] - first))
+        return F.array_join(F.flatten(F.transform(stretch, lambda x: F.transform(piece, lambda m: unescape(F.substring(x, m["start"] - first + 1, m["length"]))))), "")
+
+    learned = F.array_join(F.transform(_pieces(F.col("mask")), cut), "")
     return formatted.select("conv_id", "formatted", turns.alias("turns"), learned.alias("learned"))
 
 
