@@ -5,8 +5,10 @@ numbers; a document's words are streamed through it and the longest match that e
 match of `window` words or more, or a whole item of fewer words, is an occurrence, and its words are hit.
 Runs of known words shorter than the shortest window can't hold one and are skipped without stepping.
 
-The benchmark is cut into shards of at most SHARD_BYTES of text by a hash of the item, and documents stream
-through one shard after another in narrow steps: what is broadcast is bounded, whatever the benchmark's size.
+The benchmark is cut into shards of about SHARD_BYTES of text by a hash of the item. One shard is at the driver and at
+the workers at a time: each pass over the documents writes the hits of one shard by the text's digest, its broadcast is
+destroyed, and the next shard is read; at the end the hits meet the documents. A benchmark of one shard takes one pass and
+no join. An item longer than SHARD_BYTES is a shard that is as long.
 
 Defined cases: null or empty texts have no words, aren't contaminated, and as items are ignored; repeated items
 count once by item_id; a null item_id is named "null"; without items nothing is hit. Rows stay as they are.
@@ -18,12 +20,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import session, texts
+from .common import discard, frugal, session, texts, tidy, written
 
-SHARD_BYTES = 4_000_000
+SHARD_BYTES = 1_000_000
 #: A-Z lowered; every byte that isn't part of a word becomes a space.
 WORDS = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 
@@ -151,40 +154,83 @@ def _merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _shards(benchmark: DataFrame, shard_bytes: int) -> list[list[tuple[str, bytes]]]:
-    """The items, in shards of about shard_bytes; only one shard after another is broadcast."""
+Items = list[tuple[str, bytes]]
+
+
+def _shards(benchmark: DataFrame, shard_bytes: int) -> tuple[int, Iterator[Items]]:
+    """The number of shards, and the items of each, read when it is its turn."""
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("name"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    with tidy(benchmark.sparkSession):
+        total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-total // shard_bytes))
     shard = F.pmod(F.xxhash64("name", "text"), F.lit(n))
-    return [[(r.name, r.text.encode()) for r in items.where(shard == k).collect()] for k in range(n)]
+    return n, ([(r.name, r.text.encode()) for r in items.where(shard == k).collect()] for k in range(n))
+
+
+FOUND = "hits array<int>, items array<string>"
+
+
+def _arrays(counts: list[int], hits: list[list[int]], names: list[list[str]]) -> list[pa.Array]:
+    return [pa.array(counts, pa.int64()), pa.array(hits, pa.list_(pa.int32())), pa.array(names, pa.list_(pa.string()))]
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """doc_id, text, n_words, hits (flat array of from, to in words) and items (names), a row per row of docs."""
     spark = session(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, text string, n_words long, hits array<int>, items array<string>"
-    out = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.lit(0).cast("long").alias("n_words"), F.expr("cast(array() as array<int>)").alias("hits"), F.expr("cast(array() as array<string>)").alias("items"))
-    for items in _shards(benchmark, shard_bytes):
-        shared = spark.sparkContext.broadcast(items)
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    n_shards, shards = _shards(benchmark, shard_bytes)
+    schema = f"doc_id {kind}, text string, n_words long, {FOUND}"
+    columns = ["doc_id", "text", "n_words", "hits", "items"]
+    if n_shards == 1:
+        shared = spark.sparkContext.broadcast(next(shards))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             automaton = ItemAutomaton(shared.value, window)
             for batch in batches:
-                counts, hits, names = [], batch.column("hits").to_pylist(), batch.column("items").to_pylist()
-                for k, text in enumerate(texts(batch)):
-                    words = words_of(text)
-                    counts.append(len(words))
-                    ranges, found = automaton.match(words)
-                    if ranges:
-                        old = hits[k]
-                        hits[k] = [x for r in _merged([*zip(old[::2], old[1::2]), *ranges]) for x in r]
-                        names[k] = sorted({*names[k], *found})
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), pa.array(counts, pa.int64()), pa.array(hits, pa.list_(pa.int32())), pa.array(names, pa.list_(pa.string()))], ["doc_id", "text", "n_words", "hits", "items"])
-
-        out = out.mapInArrow(run, schema)
-    return out
+                words = [words_of(t) for t in texts(batch)]
+                found = [automaton.match(w) for w in words]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), *_arrays([len(w) for w in words], [[x for r in hits for x in r] for hits, _ in found], [sorted(names) for _, names in found])], columns)
+
+        return rows.mapInArrow(run, schema)
+    parts = []
+    for items in shards:
+        shared = spark.sparkContext.broadcast(items)
+        parts.append(written(_searched(rows, shared, window), "decontamination-hits"))
+        shared.destroy()
+    every = parts[0]
+    for p in parts[1:]:
+        every = every.union(p)
+    # A text has at most a row a shard.
+    merged = written(every.groupBy("d").agg(F.flatten(F.collect_list("hits")).alias("hits"), F.flatten(F.collect_list("items")).alias("items")), "decontamination-merged")
+    discard(*parts)
+    met = rows.withColumn("d", _digest()).join(merged, "d", "left").select("doc_id", "text", "hits", "items")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hits = [[x for r in _merged([*zip(h[::2], h[1::2])]) for x in r] if h else [] for h in batch.column("hits").to_pylist()]
+            names = [sorted(set(x or ())) for x in batch.column("items").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), *_arrays([len(words_of(t)) for t in texts(batch)], hits, names)], columns)
+
+    return met.mapInArrow(count, schema)
+
+
+def _digest() -> Column:
+    return F.unhex(F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
+
+
+def _searched(rows: DataFrame, shared: Broadcast, window: int) -> DataFrame:
+    """(d, hits, items) of the texts that the shard's items hit, once each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = ItemAutomaton(shared.value, window)
+        for batch in batches:
+            found = [(d, *automaton.match(words_of(t))) for d, t in zip(batch.column("d").to_pylist(), texts(batch))]
+            found = [(d, [x for r in hits for x in r], sorted(names)) for d, hits, names in found if hits]
+            d, hits, names = zip(*found) if found else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(d, pa.binary()), *_arrays([], list(hits), list(names))[1:]], ["d", "hits", "items"])
+
+    return rows.select(_digest().alias("d"), "text").mapInArrow(frugal(run), f"d binary, {FOUND}").dropDuplicates(["d"])
 
 
 def cut_words(text: bytes, hits: list[int]) -> bytes:
