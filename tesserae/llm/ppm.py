@@ -9,7 +9,8 @@ of costs per context length; a text's bytes are looked up in the longest one, an
 
 Texts are written in blocks of about BLOCK_BYTES. A block's distinct strings leave it as packed arrays per bucket, with
 their counts in its training texts; a bucket has all strings whose contexts end in the same two bytes, so that what any of
-them costs depends on its own bucket and on the counts of pairs of bytes, of which there are 65,536. Counts are merged in
+them costs depends on its own bucket and on the counts of pairs of bytes, of which there are 65,536; there are the more
+buckets the more text there is, up to one a pair. Counts are merged in
 rounds of bounded width. The blocks' strings then stream past their bucket's tables, and the costs meet the block's texts
 again. Contexts have five bytes whatever the size of the corpus, and only the counts of pairs are broadcast.
 
@@ -40,6 +41,10 @@ from .simhash import LOWER
 ORDER, BLOCK_BYTES = 5, 16_000_000
 FRAME, END = b"\0" * ORDER, b"\0"
 BUCKETS, WIDTH = 256, 64
+#: There is a bucket for so many bytes of text, up to one for each pair of bytes; what is returned doesn't depend on it.
+BUCKET_BYTES, MOST_BUCKETS = 1 << 27, 1 << 16
+#: The last stage has at most so many tasks.
+MOST_PARTS = 100_000
 
 
 def _framed(docs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -93,12 +98,12 @@ def _unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.cumsum(both[:half], dtype=np.uint64), both[half:].astype(np.int64)
 
 
-def _bucketed(keys: np.ndarray, n: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
-    """(bucket, number of strings, packed) of the sorted strings, dealt by a hash of the context's last two bytes."""
+def _bucketed(keys: np.ndarray, n: np.ndarray, buckets: int = BUCKETS) -> Iterator[tuple[int, int, bytes]]:
+    """(bucket, number of strings, packed) of the sorted strings, dealt by a hash of the context's last two bytes; buckets: a power of two."""
     pair = (keys >> np.uint64(8)) & np.uint64(0xFFFF)
-    bucket = ((pair * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(56)).astype(np.uint8)
+    bucket = ((pair * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(65 - buckets.bit_length())).astype(np.uint8 if buckets <= 256 else np.uint16)
     order = np.argsort(bucket, kind="stable")
-    keys, n, ends = keys[order], n[order], np.cumsum(np.bincount(bucket, minlength=BUCKETS))
+    keys, n, ends = keys[order], n[order], np.cumsum(np.bincount(bucket, minlength=buckets))
     for b, (start, end) in enumerate(zip([0, *ends.tolist()], ends.tolist())):
         if end > start:
             yield b, end - start, _packed(keys[start:end], n[start:end])
@@ -251,7 +256,7 @@ WORD, STRINGS, TEXTS = 0, 1, 2
 COUNTS = "kind int, block long, key long, n long, data binary"
 
 
-def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _statistics(batches: Iterator[pa.RecordBatch], buckets: int = BUCKETS) -> Iterator[pa.RecordBatch]:
     """(kind, block, key, n, data): n of a block's words in training texts, its strings by bucket, and the number of training texts."""
     import xxhash
 
@@ -265,7 +270,7 @@ def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.full(size, kind, np.int32)), pa.array(np.full(size, block, np.int64)), pa.array(key[cut]), pa.array(n[cut]), blob], ["kind", "block", "key", "n", "data"])
 
     def of_block(block: int, words: Counter[bytes], strings: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
-        packs = [*_bucketed(strings, counts)]
+        packs = [*_bucketed(strings, counts, buckets)]
         yield from rows(STRINGS, block, np.array([b for b, _, _ in packs], np.int64), np.array([n for _, n, _ in packs], np.int64), [d for _, _, d in packs])
         key = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words), np.uint64, len(words)).view(np.int64)
         yield from rows(WORD, block, key, np.fromiter(words.values(), np.int64, len(words)))
@@ -380,7 +385,11 @@ def scored(docs: DataFrame, trained: Column, max_strings: int | None = None) ->
     spark = session(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     blocks = _blocks(docs.withColumn("trained", F.coalesce(trained, F.lit(False))))
-    found = written(blocks.select("text", "trained", "block").mapInArrow(frugal(_statistics), COUNTS), "ppm-counts")
+    with tidy(spark):
+        size, n_blocks = blocks.agg(F.sum(F.octet_length("text")), F.count_distinct("block")).first()
+    size = size or 0
+    buckets = min(max(BUCKETS, 1 << max(0, size // BUCKET_BYTES).bit_length()), MOST_BUCKETS)
+    found = written(blocks.select("text", "trained", "block").mapInArrow(frugal(lambda x: _statistics(x, buckets)), COUNTS), "ppm-counts")
     strings = found.where(F.col("kind") == STRINGS).select("key", "block", "n", "data")
     packs = _merged(strings)
     costs = written(_costs(packs, strings, None if max_strings is None else _order(packs, max_strings)), "ppm-costs")
@@ -428,7 +437,10 @@ def scored(docs: DataFrame, trained: Column, max_strings: int | None = None) ->
         return pa.concat_tables(out) if out else pa.Table.from_batches([], pa.schema([("doc_id", block.schema.field("doc_id").type), ("trained", pa.bool_()), *zip(NAMES[2:], [pa.int64()] * 3 + [pa.float64()] * 2)]))
 
     schema = f"doc_id {kind}, trained boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score, schema)
+    # So many partitions that a task has a block or two, however many there are.
+    parts = min(max(1, 4 * n_blocks), MOST_PARTS)
+    met = blocks.repartition(parts, "block").groupBy("block").cogroup(answers.repartition(parts, "block").groupBy("block"))
+    return met.applyInArrow(score, schema)
 
 
 NAMES = ["doc_id", "trained", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
