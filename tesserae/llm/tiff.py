@@ -4,7 +4,8 @@ The decoder walks the image directories, decodes PackBits, LZW or deflate (or pl
 horizontal predictor and yields one page per directory. It follows the public TIFF 6.0 specification.
 
 Defined cases: a null text is empty and becomes one row of 64 zero bytes; equal texts give equal files and features;
-a file whose directory chain loops, or that is cut off, raises ValueError (in decode_pages: an error row).
+a file whose directory chain loops, that is cut off, or that declares pages larger than its strips can fill raises
+ValueError (in decode_pages: an error row).
 """
 
 from __future__ import annotations
@@ -142,11 +143,13 @@ def lzw_encode(data: bytes) -> bytes:
     return bytes(out)
 
 
-def _inflate(data: bytes) -> bytes:
-    return zlib.decompress(data)
+def _inflate(data: bytes, most: int) -> bytes:
+    return zlib.decompressobj().decompress(data, most)
 
 
-DECODERS = {NONE: bytes, LZW: lzw_decode, DEFLATE: _inflate, OLD_DEFLATE: _inflate, PACKBITS: unpack_bits}
+DECODERS = {NONE: lambda x, most: x, LZW: lambda x, most: lzw_decode(x), DEFLATE: _inflate, OLD_DEFLATE: _inflate, PACKBITS: lambda x, most: unpack_bits(x)}
+#: How many bytes a byte of each form can stand for at most.
+EXPANSION = {NONE: 1, LZW: 4096, DEFLATE: 1040, OLD_DEFLATE: 1040, PACKBITS: 64}
 ENCODERS = {NONE: bytes, LZW: lzw_encode, DEFLATE: lambda x: zlib.compress(x, 1), PACKBITS: pack_bits}
 
 
@@ -195,14 +198,18 @@ def _page(data: bytes, f: dict[int, tuple[int, ...]], index: int) -> Page:
     across, down = -(-width // w), -(-height // h)
     if min(width, height, w, h) < 1 or len(places) < across * down or len(sizes) < across * down:
         raise ValueError(f"page {index}: its strips or tiles don't cover it")
+    for place, size in zip(places[: across * down], sizes[: across * down]):
+        if place + size > len(data):
+            raise ValueError(f"page {index}: cut off")
+    # Before memory is taken for the page: its strips or tiles must be able to fill it.
+    if samples < 1 or any(min(h, height - k // across * h) * w * samples > size * EXPANSION[compression] for k, size in enumerate(sizes[: across * down])):
+        raise ValueError(f"page {index}: a strip or tile is too short")
     out = np.empty((height, width, samples), np.uint8)
     decode = DECODERS[compression]
     for k in range(across * down):
         x, y = k % across * w, k // across * h
         rows = h if tiled else min(h, height - y)
-        if places[k] + sizes[k] > len(data):
-            raise ValueError(f"page {index}: cut off")
-        raw = decode(data[places[k] : places[k] + sizes[k]])
+        raw = decode(data[places[k] : places[k] + sizes[k]], rows * w * samples)
         if len(raw) < rows * w * samples:
             raise ValueError(f"page {index}: a strip or tile is too short")
         block = np.frombuffer(raw, np.uint8, rows * w * samples).reshape(rows, w, samples)
