@@ -4,7 +4,8 @@ A text's blocks are compressed with either dictionary; the difference of the two
 high for text that looks like the bad examples. A logistic curve, fitted on labelled rows that the dictionaries have
 not seen, turns it and how far the whole text compresses into the probability of label 1.
 
-Both are fitted on at most SAMPLE_ROWS labelled rows and SAMPLE_BYTES of text; every text is scored whole.
+Both are fitted on at most SAMPLE_ROWS labelled rows and SAMPLE_BYTES of text, and on no text longer than a hundredth of
+SAMPLE_BYTES (240 kB); every text is scored whole, however long.
 
 Defined cases: a null or empty text gets the base rate of label 1 among the sample; without rows of both labels every
 score is that rate (0.5 without any row); repeated rows and ids each get a row.
@@ -102,7 +103,7 @@ def fit(docs: DataFrame, labels: DataFrame, modulus: int = 5, held_out: int = 0,
     rows = rows.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text"), "label", F.octet_length("text").alias("n"))
     sized = rows.where(F.col("n") <= sample_bytes // 100).orderBy(F.xxhash64("doc_id"), "text").limit(sample_rows)
     found, total = [], 0
-    for r in sized.toLocalIterator():
+    for r in sized.toLocalIterator():  # a row at a time, until the bound on bytes
         total += len(r.text)
         if total > sample_bytes:
             break
