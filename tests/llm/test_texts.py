@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from tesserae.llm import chat, decontaminate, labelled, packing, ppm, quality, queries, tiff, toxicity, url_filter
+from tesserae.llm import chat, common, decontaminate, labelled, packing, ppm, quality, queries, tiff, toxicity, url_filter
 
 from .conftest import COLUMNS, rows_of, words
 
@@ -64,6 +64,25 @@ def test_words_encode_as_whole_texts():
     assert [np.frombuffer(x, "<u4").tolist() for x in ids.to_pylist()] == [brute_ids(t) for t in odd] and n.tolist() == [len(brute_ids(t)) for t in odd]
 
 
+def test_other_vocabularies_encode_whole_texts(tmp_path):
+    import json
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    config = json.load(open(packing.default_vocabulary(), encoding="utf-8"))
+    assert packing.splits_words(config)
+    cased = tmp_path / "cased.json"
+    cased.write_text(json.dumps(config | {"normalizer": None}), encoding="utf-8")
+    joined = tmp_path / "joined.json"
+    joined.write_text(json.dumps(config | {"added_tokens": [dict(config["added_tokens"][0], content="to be")]}), encoding="utf-8")
+    odd = ["To be or NOT to be.", "", None, "a  b\tc it's", "É è"]
+    for path in (public_tokenizers.path("byte_bpe_50k.json"), str(cased), str(joined)):
+        ids, n = packing.WordEncoder(path).encode(pa.array(odd), 2)
+        whole = [Tokenizer.from_file(path).encode(t or "", add_special_tokens=False).ids + [2] for t in odd]
+        assert [np.frombuffer(x, "<u4").tolist() for x in ids.to_pylist()] == whole and n.tolist() == list(map(len, whole))
+
+
 # decontamination
 
 
@@ -117,6 +136,32 @@ def test_contamination_equals_brute_force(spark, shard_bytes):
         assert rows_of(decontaminate.report(df, bench, 7), "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated") == sorted(expected, key=repr)
 
 
+def test_shards_are_held_one_at_a_time(spark, monkeypatch):
+    rng = random.Random(2)
+    items = [(k, words(rng, 20)) for k in range(40)]
+    docs = spark.createDataFrame([(k, words(rng, 30) + " " + items[k % 40][1] + " " + words(rng, 5)) for k in range(80)], "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    n, shards = decontaminate._shards(bench, 500)
+    sizes = [sum(len(t) for _, t in s) for s in shards]
+    assert n == len(sizes) > 5 and sum(sizes) == sum(len(t.encode()) for _, t in items) and max(sizes) < sum(sizes) / 3
+    live, most = [], []
+    plain = type(spark.sparkContext).broadcast
+
+    def counted(context, value):
+        found = plain(context, value)
+        live.append(found)
+        most.append(len(live))
+        gone = found.destroy
+        monkeypatch.setattr(found, "destroy", lambda: (live.remove(found), gone()), raising=False)
+        return found
+
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", counted)
+    found = decontaminate.contamination(docs, bench, 13, 500).collect()
+    assert len(most) == n and max(most) == 1 and not live
+    monkeypatch.undo()
+    assert sorted(found) == sorted(decontaminate.contamination(docs, bench, 13).collect()) and all(r.hits for r in found)
+
+
 def test_passages_are_cut(spark, corpus, nothing):
     rng = random.Random(3)
     passage = words(rng, 15)
@@ -178,6 +223,106 @@ def test_toxicity_learns_and_undoes_obfuscation(spark, nothing):
     assert {r.score for r in toxicity.classified(docs, empty).collect()} == {0.0} and toxicity.classified(nothing, labels).collect() == []
 
 
+def lattice(word, model):
+    """Every reading of a word, with its cost."""
+    out = []
+
+    def step(k, context, last, cost, text):
+        if k == len(word):
+            out.append((cost + model.log(context, " "), text))
+            return
+        c = word[k]
+        if c == last and last:
+            step(k + 1, context, last, cost + toxicity.REPEATED, text)
+        if c in toxicity.SEPARATORS:
+            step(k + 1, context, "", cost + toxicity.DROPPED, text)
+            if c == " " and context != "  ":
+                step(k + 1, "  ", "", cost + toxicity.DROPPED + model.log(context, " "), text + " ")
+            return
+        for letter in toxicity.LOOKS.get(c, ""):
+            step(k + 1, context[1] + letter, c, cost + toxicity.SUBSTITUTED + model.log(context, letter), text + letter)
+        step(k + 1, context[1] + c, c, cost + (0.0 if c.isalpha() else toxicity.KEPT_SYMBOL) + model.log(context, c), text + c)
+
+    step(0, "  ", "", 0.0, "")
+    return out
+
+
+def test_the_search_finds_the_likeliest_of_all_readings():
+    rng = random.Random(12)
+    model = toxicity.CharModel.of(Counter({w: rng.randint(1, 30) for w in words(rng, 300).split() + ["idiot", "moron", "bless", "sit", "it", "i"]}))
+    for _ in range(400):
+        word = "".join(rng.choice("1i0ot3s5$!b8-. l") for _ in range(rng.randint(1, 8)))
+        readings = lattice(word, model)
+        best = max(cost for cost, _ in readings)
+        assert toxicity.restore_word(word, model) in {text for cost, text in readings if cost > best - 1e-9}, word
+    long = "1d" + "1" * 5000 + "0t"
+    assert toxicity.restore_word(long, model) == "idiot" and len(toxicity.restore_word("ab" * 50_000, model)) == 100_000
+
+
+def test_masked_words_meet_every_cue_they_may_be():
+    cues = {"idiot$": 3.0, "moro": 2.0, "fool$": 1.5, "oaf$": 1.0, "moron$": 2.5, "losers": 0.5}
+    tree = toxicity.CueTree(cues)
+    rng = random.Random(14)
+
+    def brute(word):
+        """All texts of a masked word, by letters in place of marks."""
+        found = {("", "", 0)}
+        best = 0.0
+        alive = set("idotmrnflase")
+        for c in word:
+            following = set()
+            for text, last, shown in found:
+                if c == last and last:
+                    following.add((text, last, shown))
+                if c in toxicity.SEPARATORS:
+                    following.add((text, "", shown))
+                letters = (alive | {"?"} if text else set()) if c == "*" else set() if c in toxicity.SEPARATORS else {*toxicity.LOOKS.get(c, ""), c}
+                for x in letters:
+                    if shown >= 0:
+                        best = max([best, *(v for cue, v in cues.items() if text == cue)])
+                    following.add((text + x, "" if c == "*" else c, shown + (-1 if c == "*" else 1)))
+            found = following
+        return max([best, *(cues.get(text + "$", 0.0) for text, _, shown in found if shown >= 0)])
+
+    for _ in range(300):
+        word = "".join(rng.choice("i1d*o0tm*rnf1*") for _ in range(rng.randint(1, 6)))
+        assert toxicity.masked_weight(word, tree) == brute(word), word
+    assert toxicity.masked_weight("i**ot", tree) == 3.0 and toxicity.masked_weight("i****", tree) == 0.0 and toxicity.masked_weight("m0r*ns", tree) == 2.0
+    assert toxicity.masked_weight("f" + "*" * 100_000, tree) == 0.0
+
+
+def test_long_spaced_out_and_repeated_insults(spark):
+    chars = toxicity.CharModel.of(Counter({"idiot": 5, "moron": 5, "the": 50, "inner": 20, "a": 40, "ring": 9}))
+    model = toxicity.Model({"idiot$": 5.0, "moron$": 5.0}, (-2.0, 0.0, 1.0, 0.0, 0.0, 0.0), 0.1, chars)
+    for text in ("a m o r o n", "m o r o n  i d i o t", "1d" + "1" * 70 + "0t", "mo" + "o" * 200 + "ron", "m." + "." * 90 + "oron", "x " * 20_000 + "id*ot"):
+        assert model.score(text) > 0.7, text[:50]
+    for text in ("", "the inner ring", "a " * 50_000, "*" * 5000, "1" * 5000, "a*b*c"):
+        assert model.score(text) < 0.7, text[:50]
+
+
+def test_quality_features_equal_a_plain_recomputation():
+    import zstandard as z
+
+    rng = random.Random(3)
+    good, bad = (b" ".join(rng.choice(pool) for _ in range(4000)) for pool in ([b"the", b"inner", b"ring"], [b"%%", b"$$$", b"x9"]))
+    model = quality.Model(quality._dictionary([good]), quality._dictionary([bad]), (0.1, 1.0, -0.5, 0.2, 0.3), 0.8)
+
+    def size(data, dictionary=None):
+        """The frame without what every frame has: magic number, descriptor and window."""
+        given = {"dict_data": z.ZstdCompressionDict(dictionary)} if dictionary else {}
+        return len(z.ZstdCompressor(level=3, write_content_size=False, write_dict_id=False, **given).compress(data))
+
+    tools = model.compressors()
+    for text in (b"the inner ring", good[:5000], bad[:5000], good[:3000] + bad[:3000], b"x" * 10_000, rng.randbytes(3000)):
+        blocks = [text[k : k + 2048] for k in range(0, len(text), 2048)]
+        with_good, with_bad = (sum(size(b, d) - 6 for b in blocks) / len(text) for d in (model.good, model.bad))
+        whole = min(size(text) / len(text), 2.0)
+        expected = [1.0, 10 * (with_bad - with_good), (with_good + with_bad) / 2, whole, 5 * (with_bad - with_good) * (with_good + with_bad)]
+        assert quality.features(text, tools) == pytest.approx(expected)
+        p = 1 / (1 + math.exp(-sum(w * x for w, x in zip(model.weights, expected))))
+        assert model.scores([text, b""]) == [pytest.approx(p), 0.8]
+
+
 def test_quality_learns(spark, nothing):
     def make(rng, k):
         text = words(rng, 80)
@@ -304,6 +449,32 @@ def test_codecs():
     assert tiff.lzw_decode(coded) == bytes([7, 7, 7, 8, 8, 7, 7, 6, 6]) and tiff.lzw_encode(bytes([7, 7, 7, 8, 8, 7, 7, 6, 6])) == coded
 
 
+def brute_feature(payload):
+    rows = [payload[k : k + 64] for k in range(0, len(payload), 64)]
+    n, mean = len(payload), sum(payload) / len(payload)
+    spread = math.sqrt(max(0.0, sum(b * b for b in payload) / n - mean * mean))
+    entropy = -sum(c / n * math.log2(c / n) for c in Counter(payload).values())
+    down, across = (sorted({k * size // 8 for k in range(8)}) for size in (len(rows), 64))
+    cells = [sum(sum(r[x0:x1]) for r in rows[y0:y1]) for y0, y1 in zip(down, [*down[1:], len(rows)]) for x0, x1 in zip(across, [*across[1:], 64])]
+    bits = "".join("1" if c * len(cells) > sum(cells) else "0" for c in cells)
+    return f"{len(rows)}x64 mean={mean:.3f} std={spread:.3f} entropy={abs(entropy):.3f} grid={int(bits.ljust(-(-len(bits) // 8) * 8, '0'), 2).to_bytes(-(-len(bits) // 8), 'big').hex()}"
+
+
+@pytest.mark.parametrize("compression", list(tiff.ENCODERS))
+def test_tiff_pages_that_are_too_large_are_refused(compression):
+    """A header that declares far more than its strips hold must not take memory."""
+    import struct
+
+    data = bytearray(tiff.encode([np.zeros((2, 64, 1), np.uint8)], compression))
+    at = struct.unpack_from("<I", data, 4)[0]
+    for k in range(struct.unpack_from("<H", data, at)[0]):
+        tag = struct.unpack_from("<H", data, at + 2 + 12 * k)[0]
+        if tag in (256, 257, 278):
+            struct.pack_into("<I", data, at + 10 + 12 * k, 1 << 31)
+    with pytest.raises(ValueError):
+        list(tiff.pages(bytes(data)))
+
+
 def test_media_table(spark, corpus, nothing):
     files = tiff.stored(corpus, page_rows=16)
     out = {(r.doc_id, r.payload_sha256): r for r in tiff.digest(files).collect()}
@@ -314,6 +485,12 @@ def test_media_table(spark, corpus, nothing):
         assert (d.n_bytes, d.payload_bytes, d.tail_crc32) == (len(data), len(payload), zlib.crc32(payload[-64:])) and d.feature
     pages = tiff.decode_pages(files, "doc_id", "media").collect()
     assert sum(len(p.pixels) for p in pages) == sum(r.payload_bytes for r in tiff.digest(files).collect()) and all(p.error is None for p in pages)
+    stored = sorted((repr(r.doc_id), len(r.media), hashlib.sha256(r.media).hexdigest()) for r in files.collect())
+    assert stored == sorted((repr(d.doc_id), d.media_bytes, d.media_sha256) for d in tiff.digest(files).collect())
+    for r in corpus.where("doc_id in (2, 71)").collect():
+        data = (r.text or "").encode()
+        (d,) = [x for x in tiff.digest(files).collect() if x.doc_id == r.doc_id]
+        assert d.feature == "; ".join(brute_feature(data.ljust(max(64, -(-len(data) // 64) * 64), b"\0")[k : k + 1024]) for k in range(0, max(len(data), 1), 1024))
     good = tiff.encode([np.zeros((2, 64, 1), np.uint8)])
     broken = spark.createDataFrame([(1, good), (2, b"no"), (3, good[:-20]), (4, None), (5, good[:4] + (8).to_bytes(4, "little") + good[8:])], "id long, file binary")
     found = {p.id: p.error for p in tiff.decode_pages(broken, "id", "file").collect()}
@@ -348,6 +525,29 @@ def test_chat_reads_back(spark):
     assert chat.digest(made).count() == len(by_conv)
 
 
+def test_chat_sorts_ties_by_what_was_said(spark):
+    rows = [(1, 0, "user", "<|"), (1, 0, "user", "<a"), (1, 0, "user", "<s>"), (1, 0, "<|", "x"), (1, 0, "<a", "y"), (1, 1, "user", "["), (1, 1, "user", "[INST]")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    (r,) = chat.read_back(chat.format_conversations(df)).collect()
+    assert [(x.role, x.text) for x in r.turns] == [(role, text) for _, _, role, text in sorted(rows)]
+
+
+def test_chat_takes_very_long_conversations(spark):
+    import time
+
+    n = 100_000
+    df = spark.range(n).selectExpr("7 as conv_id", "id as turn", "if(id % 3 = 1, 'assistant', 'user') as role", "concat('say <|', id) as text")
+    start = time.time()
+    (r,) = chat.digest(chat.format_conversations(df)).collect()
+    assert time.time() - start < 60
+    said = [("assistant" if k % 3 == 1 else "user", f"say <|{k}") for k in range(n)]
+    learned = "".join(t for who, t in said if who == "assistant")
+    assert (r.n_turns, r.turns_sha256) == (n, hashlib.sha256("".join(f"{who}\n{t}\n" for who, t in said).encode()).hexdigest())
+    assert (r.loss_chars, r.loss_sha256) == (len(learned), hashlib.sha256(learned.encode()).hexdigest())
+    one = spark.createDataFrame([(1, 0, "assistant", "x" * 5_000_000)], "conv_id long, turn long, role string, text string")
+    assert chat.digest(chat.format_conversations(one)).first().loss_chars == 5_000_000
+
+
 # URL filters
 
 
@@ -431,3 +631,58 @@ def test_url_filter_takes_directory_prefixes(spark):
     urls = ["http://a.com/ads/1", "http://a.com/ads", "http://a.com/adsense", "http://b.com/x/y/z?q", "http://b.com/x", "http://c.com/"]
     captures = spark.createDataFrame([(u, "2024-02-01") for u in urls], "url string, fetched_at string")
     assert [(r.url, r.url_verdict) for r in url_filter.evaluate(captures, listed).orderBy("url").collect()] == [(u, "allow" if u in ("http://a.com/adsense", "http://b.com/x") else "block") for u in sorted(urls)]
+
+
+def test_url_filter_takes_very_long_urls(spark):
+    import time
+
+    steps = "/".join(["s"] * 100_000)
+    urls = [f"http://long.com/{steps}/end?q=1", "http://" + "a." * 100_000 + "bad.org/x", "http://long.com/s/s/t"]
+    rules = [("prefix", "long.com/s/s/s", "block"), ("prefix", "long.com/s/s/t", "block"), ("domain", "bad.org", "block"), ("url", f"long.com/{steps}/end?q=1", "allow"), ("prefix", "long.com", "block")]
+    listed = spark.createDataFrame([(*r, "add", "2024-01-01") for r in rules], "kind string, key string, verdict string, action string, effective_at string")
+    captures = spark.createDataFrame([(k, u, "2024-02-01") for k, u in enumerate(urls)], "id int, url string, fetched_at string")
+    start = time.time()
+    found = {r.id: (r.url_verdict, r.url_rule_kind) for r in url_filter.evaluate(captures, listed).collect()}
+    assert time.time() - start < 30
+    assert found == {0: ("allow", "url"), 1: ("block", "domain"), 2: ("block", "prefix")}
+
+
+# shared
+
+
+def test_clashing_columns_are_kept_or_ignored(spark, corpus):
+    """Extra columns that have the names of an operator's own."""
+    odd = "doc_id", "text", *(f"{k} as {n}" for k, n in enumerate(("row", "n", "ids", "part", "at", "block", "trained", "key", "media", "hits", "items", "n_words", "d", "h", "score", "held_out", "label", "own_hash", "node", "size", "features", "page")))
+    plain, odd = corpus.where("doc_id < 20").select("doc_id", "text"), corpus.where("doc_id < 20").selectExpr(*odd)
+    labels = plain.selectExpr("doc_id", "int(doc_id % 2) as toxic", "int(doc_id % 2) as quality", "1 as text", "2 as label")
+    bench = plain.limit(2).selectExpr("doc_id as item_id", "substring(text, 1, 300) as text", "1 as name", "2 as shard")
+    for run in (
+        lambda d: packing.digest(packing.pack(d)),
+        lambda d: toxicity.classified(d, labels),
+        lambda d: quality.classified(d, labels),
+        lambda d: decontaminate.report(d, bench),
+        lambda d: ppm.held_out_scores(d),
+        lambda d: tiff.digest(tiff.stored(d)),
+    ):
+        a, b = run(plain), run(odd)
+        assert a.columns == b.columns and a.count() == b.count()
+    assert toxicity.keep_civil(odd, labels).columns == odd.columns
+    assert decontaminate.decontaminate(odd, bench).columns == odd.columns and decontaminate.decontaminate(odd, bench).count() <= odd.count()
+    rows = spark.createDataFrame([(1, 0, "user", "x", 5, 6, 7)], "conv_id long, turn long, role string, text string, turns int, formatted int, parts int")
+    assert chat.format_conversations(rows).columns == ["conv_id", "formatted", "mask"]
+    listed = spark.createDataFrame([("host", "a.com", "block", "add", "2024-01-01", 1, 2)], "kind string, key string, verdict string, action string, effective_at string, at int, host int")
+    captures = spark.createDataFrame([("http://a.com/", "2024-02-01", 1, 2, 3, 4)], "url string, fetched_at string, u int, t int, row int, best int")
+    (r,) = url_filter.evaluate(captures, listed).collect()
+    assert (r.u, r.t, r.row, r.best, r.url_verdict) == (1, 2, 3, 4, "block")
+
+
+def test_settings_of_the_session_are_kept(spark):
+    key, tidy = "spark.sql.execution.arrow.maxBytesPerBatch", "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    try:
+        spark.conf.set(key, str(64 << 20))
+        common.session(spark)
+        common.written(spark.range(10), "settings")
+        assert spark.conf.get(key) == str(64 << 20) and spark.conf.get(tidy) == "false"
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
