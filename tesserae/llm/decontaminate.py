@@ -188,11 +188,16 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, shard
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             automaton = ItemAutomaton(shared.value, window)
             for batch in batches:
-                words = [words_of(t) for t in texts(batch)]
-                found = [automaton.match(w) for w in words]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), *_arrays([len(w) for w in words], [[x for r in hits for x in r] for hits, _ in found], [sorted(names) for _, names in found])], columns)
-
-        return rows.mapInArrow(run, schema)
+                counts, hits, names = [], [], []
+                for text in texts(batch):  # the words of one text at a time
+                    words = words_of(text)
+                    found, items = automaton.match(words)
+                    counts.append(len(words))
+                    hits.append([x for r in found for x in r])
+                    names.append(sorted(items))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), *_arrays(counts, hits, names)], columns)
+
+        return rows.mapInArrow(frugal(run), schema)
     parts = []
     for items in shards:
         shared = spark.sparkContext.broadcast(items)
