@@ -11,9 +11,11 @@ Entries become validity intervals: an addition holds until the next removal of i
 its fetch time, `valid_from <= fetched_at < valid_to`, against every rule its URL could meet. The most specific active
 rule decides (url, prefix, host, domain; then the longer key; then allow before block); without one it is allowed.
 
-The keys of distinct (url, fetch time) pairs are joined to the intervals by (kind, key); verdicts join back by the pair.
+The keys that a capture could meet are joined to the intervals by (kind, key); verdicts join back by (url, fetch time).
 Both are plain equi-joins with the time as a further condition, so adaptive execution splits hot hosts and URLs, and
-neither side is broadcast unless Spark finds it small. Intervals of a rule are merged first and disjoint.
+neither side is broadcast unless Spark finds it small. Intervals of a rule are merged first and disjoint. Of a URL's path
+prefixes and a host's domains only those as deep as some rule are tried, so a URL of any length gives few keys: the depths
+are a scalar subquery, no more of them than the longest key has steps.
 
 Defined cases: a null URL or fetch time meets no rule and is allowed; a URL without scheme or host meets no rule;
 repeated rows each get a row; of entries of one rule at one time an addition counts; unknown actions, kinds, null keys
@@ -56,23 +58,36 @@ def intervals(entries: DataFrame) -> DataFrame:
     return closed.where("on = 1").select(*rule, F.col("at").alias("valid_from"), "valid_to")
 
 
-def candidates(url: Column) -> Column:
-    """The (kind, key) of every rule that the URL could meet."""
-    host, path = host_of(url), path_of(url)
-    labels = F.split(host, r"\.")
+def depth(kind: Column, key: Column) -> Column:
+    """How many labels a domain or steps a prefix has; null for other kinds."""
+    return F.when(kind == "domain", F.size(F.split(key, r"\."))).when(kind == "prefix", F.size(F.split(key, "/")) - 1)
+
+
+def steps_of(path: Column) -> Column:
+    return F.split(F.regexp_replace(F.substring_index(path, "?", 1), "^/|/$", ""), "/")
+
+
+def candidates() -> Column:
+    """The (kind, key) of every rule that a URL (host, labels, path, steps) could meet; depths has the (kind, depth) of domain and prefix rules."""
+    host, path, labels, steps, depths = map(F.col, ("host", "path", "labels", "steps", "depths"))
     pair = lambda kind, key: F.struct(F.lit(kind).alias("kind"), key.alias("key"))
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: pair("domain", F.array_join(F.slice(labels, k, F.size(labels)), ".")))
-    steps = F.split(F.regexp_replace(F.substring_index(path, "?", 1), "^/|/$", ""), "/")
-    prefixes = F.transform(F.sequence(F.lit(1), F.size(steps)), lambda k: pair("prefix", F.concat(host, F.lit("/"), F.array_join(F.slice(steps, 1, k), "/"))))
-    return F.when(host != "", F.array_distinct(F.concat(suffixes, F.array(pair("host", host), pair("url", F.concat(host, path))), prefixes)))
+    deep = lambda kind, most: F.transform(F.filter(depths, lambda d: (d["kind"] == kind) & (d["depth"] <= F.size(most))), lambda d: d["depth"])
+    suffixes = F.transform(deep("domain", labels), lambda n: pair("domain", F.array_join(F.slice(labels, F.size(labels) - n + 1, n), ".")))
+    prefixes = F.transform(deep("prefix", steps), lambda n: pair("prefix", F.concat(host, F.lit("/"), F.array_join(F.slice(steps, 1, n), "/"))))
+    return F.when(host != "", F.concat(suffixes, F.array(pair("host", host), pair("url", F.concat(host, path))), prefixes))
 
 
 def evaluate(captures: DataFrame, entries: DataFrame, url: str = "url", fetched_at: str = "fetched_at") -> DataFrame:
     """captures with url_verdict ('allow' or 'block'), url_rule_kind and url_rule_key, in place of columns so named."""
     when = F.col(fetched_at).cast("timestamp_ntz")
-    seen = captures.select(F.col(url).alias("u"), when.alias("t")).where("u is not null and t is not null").distinct()
-    asked = seen.select("u", "t", F.explode(candidates(F.col("u"))).alias("c")).select("u", "t", "c.kind", "c.key")
     rules = intervals(entries)
+    known = rules.select("kind", depth(F.col("kind"), F.col("key")).alias("depth"))
+    depths = known.where("depth > 0").agg(F.collect_set(F.struct("kind", "depth")).alias("depths")).scalar()
+    seen = captures.select(F.col(url).alias("u"), when.alias("t")).where("u is not null and t is not null")
+    seen = seen.select("u", "t", host_of(F.col("u")).alias("host"), path_of(F.col("u")).alias("path"), depths.alias("depths"))
+    seen = seen.select("u", "t", "host", "path", "depths", F.split("host", r"\.").alias("labels"), steps_of(F.col("path")).alias("steps"))
+    # An outer explode, as for a plain one its array would be made again for a filter that Spark infers.
+    asked = seen.select("u", "t", F.explode_outer(candidates()).alias("c")).where("c is not null").select("u", "t", "c.kind", "c.key")
     active = (F.col("valid_from") <= F.col("t")) & (F.col("valid_to").isNull() | (F.col("t") < F.col("valid_to")))
     met = asked.join(rules, ["kind", "key"]).where(active)
     rank = F.expr("case kind " + " ".join(f"when '{k}' then {v}" for k, v in RANK.items()) + " end")
