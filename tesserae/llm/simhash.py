@@ -30,6 +30,8 @@ from pyspark.sql import functions as F
 from .common import components, discard, frugal, roots_of, session, texts, unused, written
 
 HOT_CELL = 20_000
+#: So many rows of whole cells are compared at once; a single cell may have twice HOT_CELL.
+HELD_ROWS = 200_000
 #: The greatest distance that the grid finds; segments are dealt to twice as many groups.
 REACH, GROUPS = 3, 6
 #: The low bit of each segment.
@@ -99,14 +101,22 @@ def cells(fp: Column) -> Column:
 
 
 def _cell_links(batches: Iterator[pa.RecordBatch], distance: int) -> Iterator[pa.RecordBatch]:
-    """A spanning forest of the links within the cells of a partition."""
-    table = pa.Table.from_batches(list(batches)) if (batches := list(batches)) else None
-    if table is None or not table.num_rows:
+    """Spanning forests of the links within cells; the rows of a cell follow each other, and some whole cells are taken at a time."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    for batch in batches:
+        key, fp = batch.column("cell").to_numpy(), batch.column("fp").to_numpy().view(np.uint64)
+        last = int(np.searchsorted(key, key[-1])) if len(key) else 0
+        if last and sum(len(k) for k, _ in held) + last >= HELD_ROWS:
+            yield from _forest([*held, (key[:last], fp[:last])], distance)
+            held, key, fp = [], key[last:], fp[last:]
+        held.append((key, fp))
+    yield from _forest(held, distance)
+
+
+def _forest(held: list[tuple[np.ndarray, np.ndarray]], distance: int) -> Iterator[pa.RecordBatch]:
+    if not held:
         return
-    key = table["cell"].to_numpy()
-    fp = table["fp"].to_numpy().view(np.uint64)
-    order = np.argsort(key, kind="stable")
-    key, fp = key[order], fp[order]
+    key, fp = map(np.concatenate, zip(*held))
     node, at = np.unique(fp, return_inverse=True)
     low, high = fp & np.uint64(LOW), fp >> np.uint64(1) & np.uint64(LOW)
     counts = low | high | (low & high) << np.uint64(1)
@@ -152,7 +162,7 @@ def links(nodes: DataFrame, distance: int = 3, hot_cell: int = HOT_CELL) -> Data
     placed = placed.select("fp", "cell", "n", mine.alias("mine"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("other"))
     pair = F.xxhash64("cell", F.least("mine", "other"), F.greatest("mine", "other"))
     placed = placed.select("fp", F.when(F.col("n") == 1, F.col("cell")).otherwise(pair).alias("cell"))
-    return placed.repartition("cell").mapInArrow(frugal(lambda x: _cell_links(x, distance)), "a long, b long")
+    return placed.repartition("cell").sortWithinPartitions("cell").mapInArrow(frugal(lambda x: _cell_links(x, distance)), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 3, hot_cell: int = HOT_CELL) -> DataFrame:
