@@ -11,9 +11,11 @@ empty table gives no pieces. The order is that of the written table: partitions,
 
 from __future__ import annotations
 
+import json
 import os
 import struct
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +32,7 @@ CACHE_WORDS = 200_000
 GATHERED_BYTES = 6 << 20
 #: Marks that are a token group of their own behind an ASCII letter or digit.
 MARKS = b".,;:!?"
+_MARKED = frozenset(bytes([c]) for c in MARKS)
 _ALNUM = frozenset(b"abcdefghijklmnopqrstuvwxyz0123456789")
 #: Letters before this one are composed, and lower to one letter.
 PLAIN_LETTERS = "\u0130"
@@ -49,6 +52,30 @@ def _letters(word: bytes) -> str | None:
     return text.lower().encode().decode("latin-1").translate(BYTE_LETTERS)
 
 
+#: How a vocabulary's file says that it lowers case, drops white space and splits letters from marks.
+LOWERS = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLITS = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+
+
+def splits_words(config: dict) -> bool:
+    """Whether a text's ids are those of its words, one after the other; the file of the vocabulary tells."""
+    added = [t["content"] for t in config.get("added_tokens") or []]
+    plain = config.get("truncation") is None and config.get("padding") is None and config["model"].get("dropout") is None
+    return plain and config.get("normalizer") == LOWERS and config.get("pre_tokenizer") == SPLITS and not any(a.isalnum() or a.split() != [a] or a[-1] in MARKS.decode() for a in added)
+
+
+@cache
+def _splits_words(path: str) -> bool:
+    with open(path, encoding="utf-8") as f:
+        return splits_words(json.load(f))
+
+
 def default_vocabulary() -> str:
     import public_tokenizers
 
@@ -56,11 +83,11 @@ def default_vocabulary() -> str:
 
 
 class WordEncoder:
-    """The tokenizer's ids of a text, word by word.
+    """The tokenizer's ids of a text, word by word where the vocabulary allows it.
 
-    The vocabulary's splitting lowers case, drops white space and never joins across it, so a text's ids are those of
-    its space-separated words, low, and those of a word that ends in marks are the word's and the marks'. A word that was met
-    before is looked up; one that wasn't met for long is forgotten.
+    If its splitting lowers case, drops white space and never joins across it, a text's ids are those of its
+    space-separated words, low, and those of a word that ends in marks are the word's and the marks'. A word that was met
+    before is looked up; one that wasn't met for long is forgotten. With any other vocabulary whole texts are encoded.
     """
 
     def __init__(self, path: str):
@@ -68,6 +95,7 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.by_words = _splits_words(path)
         self.recent: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
 
@@ -76,7 +104,7 @@ class WordEncoder:
             self.older, self.recent = self.recent, {}
         recent = self.recent
         new = bases.difference(recent)
-        if kept := {b for b in new if b in self.older}:
+        if kept := new & self.older.keys():
             recent.update((b, self.older[b]) for b in kept)
             new -= kept
         rest, tokenize, pack = [], self.tokenizer.model.tokenize, _pack
@@ -95,22 +123,31 @@ class WordEncoder:
 
     def ids_of(self, words: list[bytes]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each distinct word, its ASCII letters low."""
-        cut = []
-        for low in words:
-            base = low
-            if low and low[-1] in MARKS:
-                base = low.rstrip(MARKS)
-                if not base or base[-1] not in _ALNUM:
-                    base = low
-            cut.append((base, low[len(base) :]))
-        ids = self._bases({b for b, _ in cut} | {m for _, m in cut if m})
-        return [ids[b] + ids[m] if m else ids[b] for b, m in cut]
+        bases, marks = list(words), {}
+        for k in [k for k, low in enumerate(words) if low[-1:] in _MARKED]:
+            base = words[k].rstrip(MARKS)
+            if base and base[-1] in _ALNUM:
+                bases[k], marks[k] = base, words[k][len(base) :]
+        ids = self._bases({*bases, *marks.values()})
+        out = [*map(ids.__getitem__, bases)]
+        for k, m in marks.items():
+            out[k] += ids[m]
+        return out
+
+    def _encode_whole(self, column: pa.Array, end_id: int) -> tuple[pa.Array, np.ndarray]:
+        whole = pc.fill_null(column.cast(pa.large_string()), "").to_pylist()
+        found = [np.array([*e.ids, end_id], "<u4") for k in range(0, len(whole), 64) for e in self.tokenizer.encode_batch_fast(whole[k : k + 64], add_special_tokens=False)]
+        return pa.array([ids.tobytes() for ids in found], pa.large_binary()), np.array([len(ids) for ids in found], np.int64)
 
     def encode(self, column: pa.Array, end_id: int) -> tuple[pa.Array, np.ndarray]:
         """The ids of each text with end_id behind them, as bytes, and their numbers.
 
         Words are split and told apart by Arrow; Python sees each distinct word of the batch once.
         """
+        if not self.by_words:
+            return self._encode_whole(column, end_id)
+        if column.offset:  # lowering takes no slices
+            column = pa.concat_arrays([column, column[:0]])
         lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(column.cast(pa.large_string()), "")))
         words = lists.flatten().dictionary_encode()
         texts_ids = [*self.ids_of(words.dictionary.cast(pa.large_binary()).to_pylist()), struct.pack("<I", end_id)]

@@ -62,6 +62,8 @@ def test_words_encode_as_whole_texts():
     odd = ["a'b. it's. don't, x'. 's. é. á. ß!? Á, <|endoftext|>. a<|endoftext|>b Σας. ΣΑΣ. %%%. a%. 12.5. 3.. . x\x85y q\x1cq İ. 日本。 ﬁ. Ⅷ. ½. a̸. ≠. x　.", "", "  ", None, " lead ÀÉ ùÿ Œ. \x0b\x0c\x1f µ ª º"]
     ids, n = packing.WordEncoder(packing.default_vocabulary()).encode(pa.array(odd), 2)
     assert [np.frombuffer(x, "<u4").tolist() for x in ids.to_pylist()] == [brute_ids(t) for t in odd] and n.tolist() == [len(brute_ids(t)) for t in odd]
+    sliced, _ = packing.WordEncoder(packing.default_vocabulary()).encode(pa.array(["É " * 500, *odd] * 3)[2:], 2)
+    assert [np.frombuffer(x, "<u4").tolist() for x in sliced.to_pylist()] == [brute_ids(t) for t in (["É " * 500, *odd] * 3)[2:]]
 
 
 def test_other_vocabularies_encode_whole_texts(tmp_path):
