@@ -145,10 +145,13 @@ class Writer(Reader):
     def _put(self, objects: list[dict] | DataFrame, replacing: bool) -> list[object] | None:
         txn, c, key = self.txn, self.collection, self._key_name
         counter = txn.counters.get(c.name, 1)
-        keys = None
+        keys, numbered = None, False
         if isinstance(objects, DataFrame):
             df = changes.with_defaults(objects, self.schema, c)
-            df = changes.number_rows(df, txn.stage, key, changes.next_number(df, counter)) if c.auto else df
+            if c.auto:
+                first = changes.next_number(df, counter)
+                df, numbered = changes.number_rows(df, txn.stage, key, first)
+                numbered = numbered and first < 1 << 62  # numbers so far from the last one can't run into it
             changes.missing(df, c)
         else:
             made, keys = [], []
@@ -170,14 +173,16 @@ class Writer(Reader):
         if c.auto and isinstance(objects, DataFrame):
             counter = changes.next_number(new, counter)
         old = self.frame()
-        changes.repeated_key(new, key)
-        if replacing:
+        if not numbered:
+            changes.repeated_key(new, key)
+        if replacing and not numbered:
             taken = new.select(quoted(key).alias("__k"))
             entries = txn.rewritten(c, taken, lambda part: changes.without(part, key, taken))
             changes.check_unique(txn.store.read_rows(txn.schema, c.name, [*entries, folder]), self.schema, c, new)
             txn.point(c.name, [*entries, folder])
         else:
-            changes.taken_key(old, new, key)
+            if not numbered:  # the counter is beyond every key there is
+                changes.taken_key(old, new, key)
             changes.check_unique(old.union(new), self.schema, c, new)
             txn.point(c.name, [*txn.tables.get(c.name, ()), folder])
         if c.auto:
@@ -389,10 +394,14 @@ class Database:
     def read(self) -> ReadTransaction:
         return ReadTransaction(self.store, self._latest())
 
+    def begin(self) -> WriteTransaction:
+        """A write transaction that the caller commits or aborts."""
+        return WriteTransaction(self.store, self._latest())
+
     @contextmanager
     def write(self) -> Iterator[WriteTransaction]:
         """A write transaction that is committed at the end of the block, or aborted by an exception."""
-        txn = WriteTransaction(self.store, self._latest())
+        txn = self.begin()
         try:
             yield txn
         except BaseException:

@@ -90,18 +90,23 @@ def missing(df: DataFrame, c: Collection) -> None:
                 raise invalid_argument(f"`{c.name}.{n}` is required")
 
 
-def number_rows(df: DataFrame, stage: Stage, column: str, first: int) -> DataFrame:
-    """Give the rows without a key the numbers from first on, in the order of the written rows: partitions, then rows."""
+def number_rows(df: DataFrame, stage: Stage, column: str, first: int) -> tuple[DataFrame, bool]:
+    """The rows, those without a key numbered from first on in the order of the written rows (partitions, then rows); and whether none had one."""
     rows = stage(df.withColumn("__n", F.monotonically_increasing_id()))
-    fresh = rows.where(quoted(column).isNull()).select("__n", F.shiftright("__n", 33).alias("__p"))
+    part, place = F.shiftright("__n", 33), F.col("__n").bitwiseAND((1 << 33) - 1)
+    fresh = rows.where(quoted(column).isNull()).select("__n", part.alias("__p"))
     totals = fresh.groupBy("__p").agg(F.count("*").alias("__c"))
     # A row a partition: the prefix sum over all of them is small.
     before = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
     bases = totals.select("__p", (F.coalesce(F.sum("__c").over(before), F.lit(0)) + first).alias("__b"))
+    if rows.where(quoted(column).isNotNull()).isEmpty():
+        # A row's number in its partition is known: there is nothing to rank.
+        out = rows.withColumn("__p", part).join(bases, "__p").withColumn("__id", F.col("__b") + place)
+        return out.select(*(F.col("__id").cast("long").alias(c) if c == column else quoted(c) for c in df.columns)), True
     rank = F.row_number().over(Window.partitionBy("__p").orderBy("__n"))
     numbers = fresh.withColumn("__r", rank).join(bases, "__p").select("__n", (F.col("__b") + F.col("__r") - 1).cast("long").alias("__id"))
     out = rows.join(numbers, "__n", "left")
-    return out.select(*(F.coalesce(quoted(c), F.col("__id")).alias(c) if c == column else quoted(c) for c in df.columns))
+    return out.select(*(F.coalesce(quoted(c), F.col("__id")).alias(c) if c == column else quoted(c) for c in df.columns)), False
 
 
 def next_number(df: DataFrame, counter: int) -> int:

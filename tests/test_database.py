@@ -395,3 +395,30 @@ def test_stored_indexes_change_what_is_read_and_not_what_is_found(spark, root):
     tools.compact(db)
     assert answers() == now and "a" in db.store.latest().indexes
     assert [r.x for r in db.read().collection("a").find('text MATCHES "word2 new"').collect()] == [100]
+
+
+def test_asynchronous_twins(spark, root):
+    import asyncio
+
+    from tesserae.aio import AsyncDatabase, rows
+
+    async def run():
+        db = await AsyncDatabase.open(spark, root, USERS)
+        async with db.write() as txn:
+            users = txn.collection("users")
+            assert await users.insert_many([{"name": "Ada"}, {"name": "Bob", "age": 4}]) == [1, 2]
+            assert await users.update(1, {"age": 30}) and await users.count("age > 3") == 2
+        with pytest.raises(RuntimeError):
+            async with db.write() as txn:
+                await txn.collection("users").delete_where()
+                raise RuntimeError
+        with refused("BUSY"):
+            async with db.write() as txn:
+                await txn.collection("users").delete(1)
+                async with db.write() as other:
+                    await other.collection("users").insert({"name": "Cy"})
+        users = (await db.read()).collection("users")
+        found, total = await asyncio.gather(users.find("age == 30"), users.sum("age"))
+        return [r.name for r in await rows(found)], total, await users.length(), [o["name"] async for o in users.iter()]
+
+    assert asyncio.run(run()) == (["Ada"], 34, 3, ["Ada", "Bob", "Cy"])
