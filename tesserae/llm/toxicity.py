@@ -8,8 +8,9 @@ cues, and the greatest one counts if as many letters are shown as hidden. Other
 
 The scorer knows cues: whole words and beginnings of words that are far commoner in texts labelled toxic, by a
 likelihood-ratio test; a cue weighs the log odds of the label where it occurs. A logistic curve over a text's cues gives
-the probability of label 1. Cues, curve and character model are learned from at most SAMPLE_ROWS labelled rows; every
-text is scored whole.
+the probability of label 1. Cues, curve and character model are learned from all labelled rows that aren't held out:
+features are counted by Spark, the curve's Newton steps sum partitions, and only the model itself meets in one place (its
+cues, and the trigrams of words that LEAST_WORD texts hold). Every text is scored whole.
 
 Defined cases: a null or empty text has no cue and the score of a text without cues; without rows of both labels every
 score is the rate of label 1 (0 without any row); repeated rows and ids each get a row.
@@ -20,7 +21,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -29,12 +30,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import labelled
-from .common import crc_mod, frugal, session, texts, written
-from .quality import logistic
+from .common import crc_mod, discard, frugal, session, texts, written
 
-SAMPLE_ROWS = 20_000
-#: A cue occurs in at least so many toxic texts of the sample and has this likelihood ratio (2 ln).
+#: A cue occurs in at least so many toxic texts and has this likelihood ratio (2 ln).
 LEAST_TEXTS, LEAST_RATIO = 6, 30.0
+#: The character model is over words of letters that at least so many texts hold.
+LEAST_WORD = 3
+#: Features that a task counts before it hands the counts on.
+HELD_FEATURES = 500_000
 PREFIXES = (4, 5, 6)
 #: Words whose weights a worker remembers at once.
 KNOWN_WORDS = 150_000
@@ -62,13 +65,7 @@ class CharModel:
 
     @classmethod
     def of(cls, words: Counter[str]) -> CharModel:
-        grams: Counter[str] = Counter()
-        for word, n in words.items():
-            padded = f"  {word} "
-            for k in range(2, len(padded)):
-                for size in (1, 2, 3):
-                    grams[padded[k + 1 - size : k + 1]] += n
-        return cls(dict(grams))
+        return cls(dict(grams_of(words.items())))
 
     def log(self, context: str, c: str) -> float:
         p = 1 / 5000
@@ -79,6 +76,17 @@ class CharModel:
         return math.log(p)
 
 
+def grams_of(words: Iterable[tuple[str, int]]) -> Counter[str]:
+    """Counts of up to three characters that follow each other in words, from the words' counts."""
+    grams: Counter[str] = Counter()
+    for word, n in words:
+        padded = f"  {word} "
+        for k in range(2, len(padded)):
+            for size in (1, 2, 3):
+                grams[padded[k + 1 - size : k + 1]] += n
+    return grams
+
+
 def restore_word(word: str, model: CharModel) -> str:
     """The likeliest text behind an obfuscated one; words that it runs together are separated by spaces.
 
@@ -233,49 +241,142 @@ def _ratio(pos: np.ndarray, neg: np.ndarray, n_pos: int, n_neg: int) -> np.ndarr
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per partition: feature (or, after a tab, a word for the character model), texts by label."""
+    """Per partition: feature (empty: any text), texts by label."""
     total: list[Counter[str]] = [Counter(), Counter()]
+
+    def counted() -> Iterator[pa.RecordBatch]:
+        keys = list(total[0].keys() | total[1].keys())
+        for k in range(0, len(keys), 50_000):
+            part = keys[k : k + 50_000]
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), *(pa.array([t[x] for x in part], pa.int64()) for t in total)], ["feature", "neg", "pos"])
+
     for batch in batches:
         for text, label in zip(texts(batch), batch.column("label").to_pylist()):
             words = plain_words(text.decode())
             total[label].update({f for w in words for f in features_of(w)})
             total[label][""] += 1
-    keys = list(total[0].keys() | total[1].keys())
-    for k in range(0, len(keys), 50_000):
-        part = keys[k : k + 50_000]
-        yield pa.RecordBatch.from_arrays([pa.array(part), *(pa.array([t[x] for x in part], pa.int64()) for t in total)], ["feature", "neg", "pos"])
+            if len(total[0]) + len(total[1]) > HELD_FEATURES:
+                yield from counted()
+                total[0].clear(), total[1].clear()
+    yield from counted()
+
+
+def _cues(n_pos: int, n_neg: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The features that are cues, and their weights."""
+        for batch in batches:
+            pos, neg = (batch.column(c).to_numpy().astype(float) for c in ("pos", "neg"))
+            ratio = _ratio(pos, neg, n_pos, n_neg)
+            commoner = np.log((pos + 0.5) / (n_pos + 1)) - np.log((neg + 0.5) / (n_neg + 1))
+            odds = np.maximum(np.log(pos + 0.5) - np.log(neg + 0.5), 0.1)
+            found = pa.RecordBatch.from_arrays([batch.column("feature"), pa.array(odds)], ["feature", "odds"])
+            yield found.filter(pa.array((ratio >= LEAST_RATIO) & (commoner > 1.5)))
+
+    return run
+
+
+def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        words = zip(batch.column("word").to_pylist(), batch.column("n").to_pylist())
+        grams = grams_of((w, n) for w, n in words if w.isalpha())
+        yield pa.RecordBatch.from_arrays([pa.array(list(grams), pa.string()), pa.array(list(grams.values()), pa.int64())], ["gram", "n"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, modulus: int = 3, held_out: int = 1, sample_rows: int = SAMPLE_ROWS) -> Model:
-    spark = session(docs.sparkSession)
-    base = labels.where(crc_mod("doc_id", modulus) != held_out).agg(F.avg(F.col("toxic").cast("int"))).first()[0]
-    rows = written(labelled.sample(docs, labels, "toxic", modulus, held_out, sample_rows), "toxicity-sample")
+def _learn(rows: DataFrame, base: float | None) -> Model:
+    """The model without its curve, from all rows (label, text); without rows of both labels it has no cues."""
     counts = rows.mapInArrow(frugal(_counts), "feature string, neg long, pos long").groupBy("feature").agg(F.sum("neg").alias("neg"), F.sum("pos").alias("pos"))
     counts = written(counts, "toxicity-counts")
     size = counts.where("feature = ''").first()
     if base is None or not size or not size.pos or not size.neg:
+        discard(counts)
         return Model({}, (), float(base or 0.0), CharModel())
     n_pos, n_neg = size.pos, size.neg
-    # Features of the bounded sample that at least LEAST_TEXTS of its toxic texts hold, and commoner there.
-    found = counts.where((F.col("feature") != "") & (F.col("pos") >= LEAST_TEXTS) & (F.col("pos") / n_pos > 2 * F.col("neg") / n_neg)).toPandas()
-    ratio = _ratio(found["pos"].to_numpy(float), found["neg"].to_numpy(float), n_pos, n_neg)
-    weight = np.log((found["pos"] + 0.5) / (n_pos + 1)) - np.log((found["neg"] + 0.5) / (n_neg + 1))
-    odds = np.maximum(np.log(found["pos"] + 0.5) - np.log(found["neg"] + 0.5), 0.1)
-    cues = {f: float(o) for f, w, r, o in zip(found["feature"], weight, ratio, odds) if r >= LEAST_RATIO and w > 1.5}
-    whole = counts.where(F.col("feature").endswith("$") & (F.col("pos") + F.col("neg") >= 3)).select("feature", (F.col("pos") + F.col("neg")).alias("n"))
-    common = whole.orderBy(F.desc("n"), "feature").limit(50_000).collect()
-    chars = CharModel.of(Counter({r.feature[:-1]: r.n for r in common if r.feature[:-1].isalpha()}))
-    model = Model(cues, (1.0,), float(base), chars)
-    shared = spark.sparkContext.broadcast(model)
-
-    def evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    # Features that at least LEAST_TEXTS toxic texts hold, and commoner there.
+    found = counts.where((F.col("feature") != "") & (F.col("pos") >= LEAST_TEXTS) & (F.col("pos") / n_pos > 2 * F.col("neg") / n_neg))
+    cues = found.mapInArrow(_cues(n_pos, n_neg), "feature string, odds double").orderBy("feature").collect()
+    n = F.col("pos") + F.col("neg")
+    whole = counts.where(F.col("feature").endswith("$") & (n >= LEAST_WORD)).select(F.expr("left(feature, length(feature) - 1)").alias("word"), n.alias("n"))
+    grams = whole.mapInArrow(frugal(_grams), "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n")).orderBy("gram").collect()
+    discard(counts)
+    return Model({r.feature: r.odds for r in cues}, (1.0,), float(base), CharModel({r.gram: r.n for r in grams}))
+
+
+def _evidence(rows: DataFrame, model: Model, column: str) -> DataFrame:
+    """The column and x, what the curve is over, a row per row (column, text)."""
+    shared = session(rows.sparkSession).sparkContext.broadcast(model)
+    rows = rows.select(column, F.col("text").cast("string").alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = [row(shared.value.evidence(t.decode())) for t in texts(batch)]
-            yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(x, pa.list_(pa.float64()))], ["label", "x"])
+            seen: dict[bytes, list[float]] = {}
+            out = []
+            for text in texts(batch):
+                if (x := seen.get(text)) is None:
+                    x = seen[text] = row(shared.value.evidence(text.decode()))
+                out.append(x)
+            yield pa.RecordBatch.from_arrays([batch.column(column), pa.array(out, pa.list_(pa.float64()))], [column, "x"])
 
-    seen = rows.mapInArrow(evidence, "label int, x array<double>").groupBy("label", "x").count().collect()
-    x, y = np.array([r.x for r in seen for _ in range(r["count"])]), np.array([r.label for r in seen for _ in range(r["count"])])
-    model.weights = tuple(logistic(x, y, min(max(float(base), 1e-3), 1 - 1e-3), ridge=0.1).tolist())
+    return rows.mapInArrow(frugal(run), f"{column} {rows.schema[column].dataType.simpleString()}, x array<double>")
+
+
+def _curve(found: DataFrame, base: float, ridge: float = 0.1, steps: int = 50) -> tuple[float, ...]:
+    """Weights of the logistic curve over all rows (label, x), by Newton's method; label 1 is weighted to the share base.
+
+    Each step sums up the partitions of the distinct rows, so no row meets the driver.
+    """
+    seen = written(found.groupBy("label", "x").count(), "toxicity-seen")
+    sizes = {r.label: r.n for r in seen.groupBy("label").agg(F.sum("count").alias("n")).collect()}
+    share = sizes[1] / (sizes[0] + sizes[1])
+    by_label = np.array([(1 - base) / (1 - share), base / share])
+
+    def sums(w: np.ndarray):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            gradient, hessian = np.zeros(len(w)), np.zeros((len(w), len(w)))
+            for batch in batches:
+                y, n = batch.column("label").to_numpy(), batch.column("count").to_numpy()
+                x = batch.column("x").flatten().to_numpy().reshape(-1, len(w))
+                weight, p = by_label[y] * n, 1 / (1 + np.exp(-np.clip(x @ w, -40, 40)))
+                gradient += x.T @ (weight * (y - p))
+                hessian += (x * (weight * p * (1 - p))[:, None]).T @ x
+            yield pa.RecordBatch.from_arrays([pa.array([v.ravel().tolist()], pa.list_(pa.float64())) for v in (gradient, hessian)], ["gradient", "hessian"])
+
+        return run
+
+    w = np.zeros(len(row((0.0, 0.0, 0))))
+    for _ in range(steps):
+        # Summed in an order of their own, whichever partition comes first.
+        parts = sorted((r.gradient, r.hessian) for r in seen.mapInArrow(sums(w), "gradient array<double>, hessian array<double>").collect())
+        gradient, hessian = (np.sum([p[k] for p in parts], axis=0) for k in (0, 1))
+        step = np.linalg.solve(hessian.reshape(len(w), -1) + ridge * np.eye(len(w)), gradient - ridge * w)
+        w += step
+        if np.abs(step).max() < 1e-8:
+            break
+    discard(seen)
+    return tuple(w.tolist())
+
+
+def _known(labels: DataFrame, modulus: int, held_out: int) -> DataFrame:
+    """The labels to learn from, as a table whose size Spark knows: a join to few of them shuffles no texts."""
+    return written(labelled.known(labels, "toxic", modulus, held_out), "toxicity-known")
+
+
+def _share(labels: DataFrame, modulus: int, held_out: int) -> float | None:
+    return labels.where(crc_mod("doc_id", modulus) != held_out).agg(F.avg(F.col("toxic").cast("int"))).first()[0]
+
+
+def _within(rate: float) -> float:
+    return min(max(rate, 1e-3), 1 - 1e-3)
+
+
+def fit(docs: DataFrame, labels: DataFrame, modulus: int = 3, held_out: int = 1) -> Model:
+    """The model of all labelled rows that aren't held out."""
+    session(docs.sparkSession)
+    known = _known(labels, modulus, held_out)
+    rows = written(docs.select("doc_id", F.col("text").cast("string").alias("text")).join(known, "doc_id").select("label", "text"), "toxicity-rows")
+    model = _learn(rows, _share(labels, modulus, held_out))
+    if model.weights:
+        model.weights = _curve(_evidence(rows, model, "label"), _within(model.rate))
+    discard(rows, known)
     return model
 
 
@@ -298,8 +399,21 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def classified(docs: DataFrame, labels: DataFrame, modulus: int = 3, held_out: int = 1, threshold: float = 0.7) -> DataFrame:
-    """doc_id, held_out, score and predicted (1 if the score reaches the threshold)."""
-    scored = score(docs, fit(docs, labels, modulus, held_out))
+    """doc_id, held_out, score and predicted (1 if the score reaches the threshold); the model is that of `fit`.
+
+    Evidence is taken once a text, for the curve and for the score.
+    """
+    session(docs.sparkSession)
+    docs, known = docs.select("doc_id", "text"), _known(labels, modulus, held_out)
+    model = _learn(docs.withColumn("text", F.col("text").cast("string")).join(known, "doc_id").select("label", "text"), _share(labels, modulus, held_out))
+    if model.weights:
+        found = written(_evidence(docs, model, "doc_id"), "toxicity-evidence")
+        model.weights = _curve(found.join(known, "doc_id").select("label", "x"), _within(model.rate))
+        discard(known)
+        z = sum((F.get("x", F.lit(k)) * w for k, w in enumerate(model.weights)), F.lit(0.0))
+        scored = found.withColumn("score", 1 / (1 + F.exp(-F.least(F.greatest(z, F.lit(-40.0)), F.lit(40.0)))))
+    else:
+        scored = docs.select("doc_id", F.lit(model.rate).alias("score"))
     return scored.select("doc_id", (crc_mod("doc_id", modulus) == held_out).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 

@@ -9,6 +9,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from tesserae.llm import chat, common, decontaminate, labelled, packing, ppm, quality, queries, tiff, toxicity, url_filter
 
@@ -225,6 +226,34 @@ def test_toxicity_learns_and_undoes_obfuscation(spark, nothing):
     assert {r.score for r in toxicity.classified(docs, empty).collect()} == {0.0} and toxicity.classified(nothing, labels).collect() == []
 
 
+def test_toxicity_learns_from_every_labelled_row(spark):
+    """An insult of few rows, the last ones that a sample of 20,000 would take, and words beyond the commonest 50,000."""
+    n, rare = 60_000, 40
+    ids = spark.range(n).selectExpr("id as doc_id", "int(id % 2) as toxic")
+    last = ids.where("toxic = 1 and crc32(cast(cast(doc_id as string) as binary)) % 3 <> 1").orderBy(F.xxhash64("doc_id").desc()).limit(rare)
+    chosen = {r.doc_id for r in last.collect()}
+    name = lambda k: "w" + "".join(chr(97 + k // 26**i % 26) for i in range(4))
+    rows = [(d, " ".join([*(name((d * 8 + j) % 52_000) for j in range(8)), "zorgblat" if d in chosen else "civil", "idiot" if d % 2 else ""])) for d in range(n)]
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string").repartition(4).persist(), ids.select("doc_id", "toxic")
+    model = toxicity.fit(docs, labels)
+    seen = [(t, d % 2) for d, t in rows if zlib.crc32(str(d).encode()) % 3 != 1]
+    texts = Counter(w for t, _ in seen for w in set(t.split()))
+    assert sum(k >= 3 for k in texts.values()) > 50_000
+    assert model.cues["zorgblat$"] == pytest.approx(math.log(rare + 0.5) - math.log(0.5))
+    assert model.cues["idiot$"] == pytest.approx(math.log(sum(y for _, y in seen) + 0.5) - math.log(0.5))
+    assert model.chars.counts == toxicity.CharModel.of(Counter({w: k for w, k in texts.items() if k >= toxicity.LEAST_WORD})).counts
+    # The curve is that of all rows at once, and the query's scores are the model's.
+    x = np.array([toxicity.row(model.evidence(t)) for t, _ in seen])
+    expected = quality.logistic(x, np.array([y for _, y in seen]), model.rate, ridge=0.1)
+    assert model.weights == pytest.approx(expected.tolist(), rel=1e-6, abs=1e-6)
+    few = rows[:50] + [(None, None), (7, "zorgblat")]
+    scores = {(r.doc_id, r.score) for r in toxicity.score(spark.createDataFrame(few, "doc_id long, text string"), model).collect()}
+    assert scores == {(d, model.score(t or "")) for d, t in few}
+    by_query = {r.doc_id: r.score for r in toxicity.classified(docs, labels).collect()}
+    assert len(by_query) == n and all(by_query[d] == pytest.approx(model.score(t), abs=1e-9) for d, t in rows[:200])
+    docs.unpersist()
+
+
 def lattice(word, model):
     """Every reading of a word, with its cost."""
     out = []
