@@ -22,7 +22,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that a Jaccard similarity of 0.8 over five-word shingles links, the one with the least id stays."""
+    """Of documents that a Jaccard similarity of 0.8 over five-word shingles links, the one with the least id stays.
+
+    SimHash proposes pairs, and bands of minimum hashes those beyond its reach; sets are compared exactly.
+    """
     return near.keep_one(docs)
 
 

@@ -1,7 +1,9 @@
-"""Near copies by Jaccard similarity: bands of minimum hashes propose, an exact comparison of shingle sets decides.
+"""Near copies by Jaccard similarity: SimHash's grid and bands of minimum hashes propose, an exact comparison of sets decides.
 
 A text's set has the 64-bit hashes of its five-word shingles (lower case, any white space; a shorter text is one shingle).
-BANDS fingerprints of ROWS minimum hashes each are its cells: two texts of similarity s share none with probability
+Its SimHash fingerprint is over that set, and fingerprints meet on the grid of segment bit counts of `simhash`: whatever
+differences of at most three bits connect is a cell. Texts of similarity 0.8 may lie farther apart than the grid reaches, so
+BANDS fingerprints of ROWS minimum hashes each are cells as well: two texts of similarity s share none with probability
 (1 - s^5)^25, 5 in 100,000 at 0.8 and less above. Distinct texts are compared, so copies cost nothing; of cells with the
 same texts one is kept. Only cells leave the first pass over the texts; sets are made anew for the texts that share a cell,
 which are few. The sets of a cell's texts are compared exactly, unless links already connect them, and a spanning forest
@@ -24,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, discard, frugal, session, texts, unused, written
-from .simhash import LOWER
+from .simhash import LOWER, links, majority
 
 SHINGLE, THRESHOLD, BANDS, ROWS = 5, 0.8, 25, 5
 HOT_CELL, HOT_SHINGLES = 20_000, 4_000_000
@@ -78,25 +80,27 @@ def _hash() -> Column:
 
 
 def _cells(docs: DataFrame, shingle: int) -> DataFrame:
-    """(doc_id, h, node, size, cells): h is a hash of doc_id and text as they stand, node of the words, size that of their set."""
+    """(doc_id, h, node, size, cells, fp): h is a hash of doc_id and text as they stand, node of the words, size that of their set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         for batch in batches:
-            node, sizes, cells = [], [], []
+            node, sizes, cells, fps = [], [], [], []
             for text in texts(batch):
                 words = text.translate(LOWER).split()
                 found = shingles(words, shingle)
                 node.append(xxhash.xxh64_intdigest(b" ".join(words), 7))
                 sizes.append(len(found))
                 cells.append(bands(found).view(np.int64) if words else [])
-            columns = [pa.array(np.array(node, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(cells, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("h"), *columns], ["doc_id", "h", "node", "size", "cells"])
+                fps.append(majority(found))
+            node, fps = (pa.array(np.array(hashes, np.uint64).view(np.int64)) for hashes in (node, fps))
+            columns = [node, pa.array(sizes, pa.int64()), pa.array(cells, pa.list_(pa.int64())), fps]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("h"), *columns], ["doc_id", "h", "node", "size", "cells", "fp"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", _hash().alias("h"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(frugal(run), f"doc_id {kind}, h long, node long, size long, cells array<long>")
+    return rows.mapInArrow(frugal(run), f"doc_id {kind}, h long, node long, size long, cells array<long>, fp long")
 
 
 def _sets(shingle: int):
@@ -129,9 +133,21 @@ def _linked(threshold: float):
     return run
 
 
+def _close(nodes: DataFrame, hot_cell: int) -> DataFrame:
+    """(node, size, cell): a cell has the texts that SimHash connects; those without words have none."""
+    worded = nodes.where("size > 0").select("node", "size", "fp")
+    roots = components(links(worded.select("fp").distinct(), hot_cell=hot_cell), "near-simhash").withColumnRenamed("node", "linked")
+    root = F.coalesce("root", "fp")
+    rooted = worded.join(roots, worded["fp"] == roots["linked"], "left").select("node", "size", F.xxhash64(F.lit("simhash"), root).alias("cell"))
+    close = written(rooted, "near-close")
+    discard(roots)
+    return close
+
+
 def near_components(docs: DataFrame, nodes: DataFrame, shingle: int, threshold: float, hot_cell: int, hot_shingles: int = HOT_SHINGLES) -> DataFrame:
-    """(node, root) for the nodes (node, h, size, cells) that have a link; texts come from docs, by h."""
-    members = nodes.select("node", "size", F.explode("cells").alias("cell"))
+    """(node, root) for the nodes (node, h, size, cells, fp) that have a link; texts come from docs, by h."""
+    close = _close(nodes, hot_cell)
+    members = nodes.select("node", "size", F.explode("cells").alias("cell")).union(close)
     # The nodes are hashes: their exclusive or and number tell the members of cells apart.
     stats = members.groupBy("cell").agg(F.count("*").alias("n"), F.sum("size").alias("total"), F.bit_xor("node").alias("all")).where("n > 1")
     shared = written(stats, "near-shared")
@@ -141,7 +157,7 @@ def near_components(docs: DataFrame, nodes: DataFrame, shingle: int, threshold:
     placed = members.join(kept, "cell").select("node", "cell", "n", mine.alias("mine"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("other"))
     pair = F.when(F.col("n") == 1, F.col("cell")).otherwise(F.xxhash64("cell", F.least("mine", "other"), F.greatest("mine", "other")))
     placed = written(placed.select("node", pair.alias("cell")), "near-cells")
-    discard(shared)
+    discard(shared, close)
     asked = written(nodes.select("node", "h").join(placed.select("node").distinct(), "node", "left_semi"), "near-asked")
     own = docs.select(_hash().alias("h"), F.col("text").cast("string").alias("text"))
     sets = own.join(asked, "h").select("node", "text").mapInArrow(frugal(_sets(shingle)), "node long, shingles binary")
@@ -157,7 +173,7 @@ def keep_one(docs: DataFrame, shingle: int = SHINGLE, threshold: float = THRESHO
     session(docs.sparkSession)
     key = unused(docs, "own_hash")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("least")
-    nodes = _cells(docs, shingle).groupBy("node").agg(least, F.first("size").alias("size"), F.first("cells").alias("cells"))
+    nodes = _cells(docs, shingle).groupBy("node").agg(least, *(F.first(c).alias(c) for c in ("size", "cells", "fp")))
     nodes = written(nodes.withColumn("h", F.col("least.h")), "near-nodes")
     roots = near_components(docs, nodes, shingle, threshold, hot_cell).withColumnRenamed("node", "linked")
     rooted = nodes.join(roots, nodes["node"] == roots["linked"], "left").select("least", F.coalesce("root", "node").alias("root"))

@@ -53,10 +53,10 @@ def fingerprint(text: bytes, shingle: int = 3) -> int:
         h = xxhash.xxh64_intdigest
         starts, ends = [0, *(gaps + 1).tolist()], [*gaps.tolist(), len(norm)]
         hashes = [h(norm[a:b], 42) for a, b in zip(starts, ends[shingle - 1 :])]
-    return _majority(np.array(hashes, np.uint64))
+    return majority(np.array(hashes, np.uint64))
 
 
-def _majority(hashes: np.ndarray) -> int:
+def majority(hashes: np.ndarray) -> int:
     """Bits set in over half of the hashes."""
     total = np.zeros(64, np.int64)
     for k in range(0, len(hashes), 65_536):

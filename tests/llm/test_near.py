@@ -2,7 +2,9 @@
 
 import random
 
+import numpy as np
 import pytest
+import xxhash
 
 import corpus_pipeline
 from tesserae.llm import near
@@ -34,6 +36,12 @@ def brute_kept(rows):
     return groups.values()
 
 
+def brute_fingerprint(shingles):
+    """A bit is set if it is in over half of the hashes."""
+    hashes = [xxhash.xxh64_intdigest(s, 42) for s in shingles]
+    return sum(1 << k for k in range(64) if 2 * sum(h >> k & 1 for h in hashes) > len(hashes))
+
+
 @pytest.fixture(scope="module")
 def edited(corpus, spark):
     """Texts with so many changed words that fingerprints are far apart, and a little fewer shared shingles than needed."""
@@ -70,6 +78,43 @@ def test_pipeline_stage_has_its_own_parameters(edited, nothing, spark):
     assert corpus_pipeline.drop_near_copies(spark, nothing, "").collect() == []
 
 
+def test_simhash_proposes_near_copies(spark, monkeypatch):
+    """With bands that no two sets share, what is left is what SimHash connects and the exact comparison confirms."""
+    monkeypatch.setattr(near, "bands", lambda hashes: np.full(25, hashes.sum(), np.uint64))
+    rng = random.Random(13)
+    rows = []
+    for k in range(30):
+        base = words(rng, 400).split()
+        rows.append((10 * k, " ".join(base)))
+        for v, changed in enumerate((1, 2, 8, 25)):
+            copy = list(base)
+            for at in rng.sample(range(400), changed):
+                copy[at] = f"changed{at}"
+            rows.append((10 * k + 1 + v, " ".join(copy)))
+    sets = [brute_set(t) for _, t in rows]
+    fps = [brute_fingerprint(s) for s in sets]
+    parent = list(range(len(rows)))
+
+    def root(k):
+        while parent[k] != k:
+            k = parent[k]
+        return k
+
+    close = [(a, b) for a in range(len(rows)) for b in range(a) if (fps[a] ^ fps[b]).bit_count() <= 3]
+    cells = list(range(len(rows)))
+    for a, b in close:
+        cells = [cells[b] if c == cells[a] else c for c in cells]
+    for a in range(len(rows)):
+        for b in range(a):
+            if cells[a] == cells[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                parent[max(root(a), root(b))] = min(root(a), root(b))
+    left = {rows[root(k)][0] for k in range(len(rows))}
+    assert 60 < len(left) < 140
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for hot_cell in (near.HOT_CELL, 2):
+        assert sorted(r.doc_id for r in near.keep_one(docs, hot_cell=hot_cell).collect()) == sorted(left)
+
+
 def test_one_id_on_different_texts_loses_none(spark):
     rows = [(1, "a b c d e f g"), (1, "h i j k l m n"), (1, "a  b c d e f g"), (None, "o p q r s t u"), (None, "o p q r s t u"), (2, "H i j k l m n")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
