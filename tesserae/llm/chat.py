@@ -74,9 +74,9 @@ def format_conversations(rows: DataFrame, learned_role: str = "assistant") -> Da
     text = F.concat(F.array_join(F.transform("parts", lambda p: F.concat(p["head"], p["text"])), ""), F.lit(END))
     pieces = parts.select("conv_id", text.alias("formatted"), F.transform(_pieces(F.col("parts")), lambda p: F.struct(total(p).alias("size"), spans(p).alias("spans"))).alias("pieces"))
     bases = F.aggregate("pieces", F.expr("array(0)"), lambda b, p: F.concat(b, F.array(F.element_at(b, -1) + p["size"])))
-    based = pieces.select("conv_id", "formatted", "pieces", bases.alias("bases"))
-    moved = lambda p, k: F.transform(p["spans"], lambda s: F.struct((s["start"] + F.get(F.col("bases"), k)).alias("start"), s["length"].alias("length")))
-    return based.select("conv_id", "formatted", F.flatten(F.transform("pieces", moved)).alias("mask"))
+    # A base comes to its piece as an element: inside the lambda, all bases would be summed anew for each span.
+    moved = lambda p, base: F.transform(p["spans"], lambda s: F.struct((s["start"] + base).alias("start"), s["length"].alias("length")))
+    return pieces.select("conv_id", "formatted", F.flatten(F.zip_with("pieces", F.slice(bases, 1, F.size("pieces")), moved)).alias("mask"))
 
 
 def read_back(formatted: DataFrame) -> DataFrame:

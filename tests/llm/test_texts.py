@@ -563,6 +563,17 @@ def test_chat_sorts_ties_by_what_was_said(spark):
     assert [(x.role, x.text) for x in r.turns] == [(role, text) for _, _, role, text in sorted(rows)]
 
 
+def test_chat_masks_are_linear_in_a_conversation(spark):
+    import time
+
+    n = 200_000
+    df = spark.range(n).selectExpr("7 as conv_id", "id as turn", "if(id % 3 = 1, 'assistant', 'user') as role", "concat('say ', id) as text")
+    start = time.time()
+    (r,) = chat.format_conversations(df).collect()
+    assert time.time() - start < 60
+    assert [r.formatted[s.start : s.start + s.length] for s in r.mask] == [f"say {k}" for k in range(1, n, 3)]
+
+
 def test_chat_takes_very_long_conversations(spark):
     import time
 
